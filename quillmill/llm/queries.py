@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import mixing, packing, secrets, sharding, simhash, token_files
 
-_MODULES = (simhash,)
+_MODULES = (simhash, token_files, secrets, mixing, packing, sharding)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in _MODULES for k, s in getattr(m, "ORACLE", {}).items()}
