@@ -1,10 +1,71 @@
-"""The corpus pipeline: stages are added as their operators are."""
+"""From raw documents to packed training sequences.
+
+Stages, in order: the quality classifier drops rejected documents; near copies by SimHash leave one document of each
+group; secrets are redacted; sources are mixed to target weights, with copies in the order of the curriculum; documents
+are packed. Each stage works on what its predecessor has kept.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmill.llm import mixing, packing, quality, secrets, simhash
+from quillmill.llm.common import materialize, table
+from quillmill.llm.learn import labelled_sample
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches the threshold. Without labels of both kinds nothing is rejected."""
+    model = quality.fit(*labelled_sample(docs, table(spark, sf_dir, "labels"), "quality"))
+    return quality.score_quality(docs, model, docs.columns).where(F.col("score") >= quality.THRESHOLD).select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group at a similarity of 0.8 or more in sets of five words; other
+    documents are their own group. Rows that repeat an id count as one document, rows without an id stay."""
+    found = materialize(simhash.near_copies(docs).where("doc_id is not null").select("doc_id", "component_id"), "groups")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionAll(kept.where("doc_id is null"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of each secret; n_chars follows the text."""
+    text = secrets.redact(F.col("text"), F.col("__secrets"))
+    out = secrets.scan_secrets(docs, out="__secrets").withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size("__secrets") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many copies of each document as the mix takes, in the order of the curriculum."""
+    return mixing.training_order(mixing.curriculum_mix(mixing.with_order_key(docs))).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences, with their ids, in the order in which the documents were written."""
+    placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("row_index"))
+    return packing.pack(placed, keep_ids=True, order=("file_name", "row_index"))
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("SimHash near-dedup", drop_near_copies),
+    ("secret scans", redact_secrets),
+    ("source mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+#: A classifier, fingerprints and a tokenizer: SQL cannot express the rows.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to the documents of sf_dir, each result written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

@@ -8,6 +8,7 @@ document is shuffled. Only the last window is shorter.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -21,38 +22,52 @@ from .tokens import encoder
 LENGTH = 4096
 
 
-def tokenized(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
-    """First pass, written: (part, doc_id, before, n_tokens, ids: binary)."""
+def tokenized(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, order: tuple[str, str] | None = None) -> DataFrame:
+    """First pass, written: (file, run, doc_id, before, n_tokens, ids: binary).
+
+    A run is what is counted through: a partition, or with `order` (the columns of a file's name and of a row's place
+    in it) the rows of one file that follow each other in a partition.
+    """
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, enc, before = TaskContext.get().partitionId(), encoder(tokenizer), 0
+        enc, before, last = encoder(tokenizer), 0, ("", TaskContext.get().partitionId(), None)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         for b in batches:
             ids = [x + end for x in enc.encode(b.column("text").to_pylist())]
-            n = np.fromiter((len(x) // enc.dtype.itemsize for x in ids), dtype=np.int64, count=len(ids))
-            starts = before + np.cumsum(n) - n
-            before += int(n.sum())
-            cols = [pa.array(np.full(len(ids), part, dtype=np.int32)), b.column("doc_id"), pa.array(starts), pa.array(n), pa.array(ids, type=pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["part", "doc_id", "before", "n_tokens", "ids"])
+            n = [len(x) // enc.dtype.itemsize for x in ids]
+            places = zip(b.column("__file").to_pylist(), b.column("__row").to_pylist(), strict=True) if order else itertools.repeat(None, len(n))
+            runs, starts = [], []
+            for place, k in zip(places, n, strict=True):
+                if place and (place[0] != last[0] or place[1] != last[2]):
+                    last, before = (place[0], place[1], place[1]), 0
+                if place:
+                    last = (last[0], last[1], place[1] + 1)
+                runs.append(last[:2])
+                starts.append(before)
+                before += k
+            cols = [pa.array([r[0] for r in runs], type=pa.string()), pa.array([r[1] for r in runs], type=pa.int64()), b.column("doc_id"), pa.array(starts, type=pa.int64()), pa.array(n, type=pa.int64()), pa.array(ids, type=pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["file", "run", "doc_id", "before", "n_tokens", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return materialize(map_arrow(docs.select("doc_id", "text"), run, f"part int, doc_id {kind}, before bigint, n_tokens bigint, ids binary"), "ids")
+    placed = [F.col(order[0]).alias("__file"), F.col(order[1]).cast("long").alias("__row")] if order else []
+    return materialize(map_arrow(docs.select("doc_id", "text", *placed), run, f"file string, run bigint, doc_id {kind}, before bigint, n_tokens bigint, ids binary"), "ids")
 
 
-def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, end_id: int = 2, keep_ids: bool = False, order: tuple[str, str] | None = None) -> DataFrame:
     """A row for each piece of (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and,
     if asked for, ids (array of int).
 
-    A null or empty text is the end id alone. Repeated rows and null ids are documents like others; further columns are
+    Documents follow each other as in their partitions, or with `order` by file and place in it. A null or empty text
+    is the end id alone. Repeated rows and null ids are documents like others; further columns are
     ignored; an empty table has no pieces.
     """
-    first = tokenized(docs, tokenizer, end_id)
-    totals = first.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    bases = materialize(totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
-    placed = first.join(bases, "part").select("doc_id", (F.col("base") + F.col("before")).alias("place"), "n_tokens", "ids")
+    first = tokenized(docs, tokenizer, end_id, order)
+    totals = first.groupBy("file", "run").agg(F.sum("n_tokens").alias("n"))
+    before = Window.orderBy("file", "run").rowsBetween(Window.unboundedPreceding, -1)  # a row for each run
+    bases = materialize(totals.select("file", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
+    placed = first.join(bases, ["file", "run"]).select("doc_id", (F.col("base") + F.col("before")).alias("place"), "n_tokens", "ids")
 
     def cut(batches):
         for b in batches:

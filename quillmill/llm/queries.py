@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, secrets, sharding, simhash, token_files
+from . import ann, embedding_dedup, mixing, packing, quality, secrets, sharding, simhash, token_files, toxicity
 
-_MODULES = (simhash, token_files, secrets, mixing, packing, sharding)
+_MODULES = (simhash, toxicity, token_files, secrets, ann, quality, mixing, embedding_dedup, packing, sharding)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in _MODULES for k, s in getattr(m, "ORACLE", {}).items()}
