@@ -3,7 +3,7 @@
 The tokenizer named by default drops white space and never joins across it, so the ids of a text are the ids of its
 chunks between ASCII spaces one after the other. Each Python worker keeps the ids of the chunks that it has met, as
 bytes. A new chunk of Latin letters, with a comma or full stop behind it or none, is one or two units to the
-tokenizer's rules and goes straight to the library's model; all others go through its whole chain in one call.
+tokenizer's rules and goes straight to the library's model; any other goes through its whole chain.
 """
 
 from __future__ import annotations
@@ -11,12 +11,13 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 
 #: Chunks that a worker remembers at most; past it, it starts anew. It bounds memory and changes no result.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 #: A chunk longer than this is encoded each time and not kept.
 LONGEST = 64
 #: Characters split at once.
@@ -56,6 +57,19 @@ def _pieces(text: str) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+class _Known(dict):
+    """Ids by chunk; a chunk that is missing is encoded, and kept if it is short."""
+
+    def __init__(self, encoder: ChunkEncoder):
+        self.encoder = encoder
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.encoder.chunk(chunk)
+        if len(chunk) <= LONGEST:
+            self[chunk] = ids
+        return ids
+
+
 class ChunkEncoder:
     """Ids of whole texts as little-endian unsigned integers of 2 bytes, or 4 where the vocabulary needs them."""
 
@@ -65,7 +79,9 @@ class ChunkEncoder:
 
         self.tok = Tokenizer.from_file(path or default_path())
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.code, self.model = "H" if self.dtype.itemsize == 2 else "I", self.tok.model
+        self.sign = {c: self._bytes([t.id for t in self.model.tokenize(c)]) for c in ".,"}
+        self.known = _Known(self)
         self.plain = self._plain()
 
     def _plain(self) -> bool:
@@ -81,15 +97,19 @@ class ChunkEncoder:
         stem, sign = (chunk[:-1], chunk[-1]) if chunk[-1:] in (".", ",") else (chunk, "")
         if not stem.isalpha():
             return None
-        stem = stem if _ODD.search(stem) else stem.lower()
-        if not stem.isascii():
-            if _ODD.search(stem):
-                return None
-            stem = "".join([_BYTE[b] for b in stem.encode()])
-        ids = [t.id for t in self.tok.model.tokenize(stem)]
-        if sign:
-            ids += [t.id for t in self.tok.model.tokenize(sign)]
-        return self._bytes(ids)
+        if not stem.isascii() and _ODD.search(stem):
+            return None
+        stem = stem.lower()
+        ids = self.known.get(stem) if sign else None
+        if ids is None:
+            written = stem if stem.isascii() else "".join([_BYTE[b] for b in stem.encode()])
+            ids = array(self.code, [t.id for t in self.model.tokenize(written)]).tobytes()
+        return ids + self.sign[sign] if sign else ids
+
+    def chunk(self, chunk: str) -> bytes:
+        """The ids of one chunk that is not remembered."""
+        ids = self._letters(chunk) if self.plain else None
+        return self._bytes(self.tok.encode(chunk, add_special_tokens=False).ids) if ids is None else ids
 
     def _slice(self, texts: list[str]) -> list[bytes]:
         known = self.known
@@ -98,24 +118,7 @@ class ChunkEncoder:
         if self.plain:
             texts = [t if _ODD.search(t) else t.lower() for t in texts]
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = [c for c in set().union(*split) if c not in known]
-        if self.plain:
-            letters = self._letters
-            rest = []
-            for c in new:
-                got = letters(c)
-                if got is None:
-                    rest.append(c)
-                else:
-                    known[c] = got
-        else:
-            rest = new
-        if rest:
-            known.update((c, self._bytes(e.ids)) for c, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False), strict=True))
         out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-        for c in new:
-            if len(c) > LONGEST:
-                del known[c]
         return out
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
