@@ -1,8 +1,9 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Every word is tagged toxic or not. Labelled tokens come from labelled documents: a word type is evidence if it stands in
-many distinct contexts of toxic documents and in next to none of the others, and its tokens in toxic documents are the
-toxic ones. Features are the word, its ends and shape, and the words beside it. Forward-backward marginals are computed
+Every word is tagged toxic or not. Labelled tokens come from labelled documents: a word type, or all words of one
+beginning, are evidence if they stand in many distinct contexts of toxic documents and in next to none of the others,
+and their tokens in toxic documents are the toxic ones. Features are the word, its beginnings and end, its shape, and
+the words beside it. Forward-backward marginals are computed
 for a whole batch as one chain that starts anew at each document: blocks of the chain are scanned side by side and then
 joined. A document's score is a logistic function of its marginals.
 """
@@ -21,6 +22,8 @@ from .learn import Adam, labelled_sample, sigmoid
 
 WORD_BITS, SIDE_BITS = 14, 12
 BLOCK = 128
+#: Lengths of a word's beginnings, in bytes.
+HEADS = (4, 5)
 #: Distinct contexts, and share of the toxic documents, that a word type needs to be evidence; its rate among toxic
 #: documents over that among others.
 CONTEXTS, SHARE, RATIO = 4, 0.02, 20.0
@@ -99,16 +102,22 @@ def _normal(word: bytes) -> bytes:
     return word.strip(b".,;:!?\"'()[]{}*#%&$|").lower() or word
 
 
-def _features(word: bytes) -> tuple[int, int, int, int, int]:
-    """Places of a word type: itself, its head, its tail, its shape; and itself as a neighbour."""
+def _heads(w: bytes) -> list[bytes]:
+    """The beginnings that count as evidence, marked as such."""
+    return [b"^" + w[:k] for k in HEADS if len(w) >= k]
+
+
+def _features(word: bytes) -> tuple[int, ...]:
+    """Places of a word type: itself, its beginnings, its tail, its shape; and itself as a neighbour."""
     w = _normal(word)
     n, s = 1 << WORD_BITS, 1 << SIDE_BITS
     shape = (w != word) + 2 * any(48 <= c < 58 for c in w) + 4 * word[:1].isupper() + 8 * (len(w) > 12)
     crc = zlib.crc32(w)
-    return crc % n, n + zlib.crc32(w[:3], 1) % s, n + s + zlib.crc32(w[-3:], 2) % s, n + 2 * s + shape, (crc >> 7) % s
+    heads = [n + k * s + zlib.crc32(w[:h], 1) % s for k, h in enumerate(HEADS)]
+    return crc % n, *heads, n + 2 * s + zlib.crc32(w[-3:], 2) % s, n + 3 * s + shape, (crc >> 7) % s
 
 
-N_STATE, N_SIDE = (1 << WORD_BITS) + 2 * (1 << SIDE_BITS) + 16, 1 << SIDE_BITS
+N_STATE, N_SIDE = (1 << WORD_BITS) + 3 * (1 << SIDE_BITS) + 16, 1 << SIDE_BITS
 
 
 class Tagger:
@@ -175,7 +184,7 @@ class _Types:
         if new:
             f = np.array([_features(w) for w in new], dtype=np.int64)
             m = self.model
-            rows = np.column_stack([m.own[f[:, :4]].sum(axis=1), m.before[f[:, 4]], m.after[f[:, 4]]])
+            rows = np.column_stack([m.own[f[:, :5]].sum(axis=1), m.before[f[:, 5]], m.after[f[:, 5]]])
             while self.n + len(new) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             self.table[self.n : self.n + len(new)] = rows
@@ -194,16 +203,18 @@ def _chain_emissions(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def evidence(texts: list[bytes], y: np.ndarray) -> set[bytes]:
-    """Word types that mark toxic documents."""
+    """Word types, and beginnings after a ^, that mark toxic documents."""
     contexts: dict[bytes, set] = defaultdict(set)
     toxic, clean = Counter(), Counter()
     for t, label in zip(texts, y.tolist(), strict=True):
         w = [_normal(x) for x in t.split()]
-        (toxic if label else clean).update(set(w))
+        types = set(w)
+        (toxic if label else clean).update(types.union(*map(_heads, types)))
         if label:
             for a, b, c in zip([b"", *w], w, [*w[1:], b""], strict=False):
-                if len(contexts[b]) < 4 * CONTEXTS + len(texts) * SHARE:
-                    contexts[b].add((a, c))
+                for key in (b, *_heads(b)):
+                    if len(contexts[key]) < 4 * CONTEXTS + len(texts) * SHARE:
+                        contexts[key].add((a, c))
     n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
     need = max(CONTEXTS, SHARE * n1)
     return {w for w, k in toxic.items() if k >= max(3, SHARE * n1) and len(contexts[w]) >= need and k / n1 >= RATIO * (clean[w] + 0.1) / n0}
@@ -225,7 +236,7 @@ def fit(texts: list[bytes], y: np.ndarray, rounds: int = 40, docs: int = 1600) -
     types = list(dict.fromkeys(words))
     place = {w: i for i, w in enumerate(types)}
     at = np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words))
-    gold = np.array([_normal(w) in marks for w in types])[at] * label
+    gold = np.array([not marks.isdisjoint((_normal(w), *_heads(_normal(w)))) for w in types])[at] * label
     f = np.array([_features(w) for w in types], dtype=np.int64)
     inner, prev = ~first[1:], gold[:-1]
     seen = np.array([[(inner & (prev == i) & (gold[1:] == j)).sum() for j in (0, 1)] for i in (0, 1)], dtype=float)
@@ -234,14 +245,14 @@ def fit(texts: list[bytes], y: np.ndarray, rounds: int = 40, docs: int = 1600) -
     decay = 1e-6
     for r in range(rounds):
         opt.t, opt.rate = r + 1, 0.3 * (1 - 0.8 * r / rounds)
-        rows = np.column_stack([model.own[f[:, :4]].sum(axis=1), model.before[f[:, 4]], model.after[f[:, 4]]])[at]
+        rows = np.column_stack([model.own[f[:, :5]].sum(axis=1), model.before[f[:, 5]], model.after[f[:, 5]]])[at]
         p, joint = marginals(_chain_emissions(rows, first), first, model.trans, model.start, pairs=True)
         g = (p - gold) / total
         by_type = np.bincount(at, g, len(types))
-        own = sum(np.bincount(f[:, k], by_type, N_STATE) for k in range(4))
+        own = sum(np.bincount(f[:, k], by_type, N_STATE) for k in range(5))
         ahead, behind = np.r_[np.where(inner, g[1:], 0), 0], np.r_[0, np.where(inner, g[:-1], 0)]
-        before = np.bincount(f[:, 4], np.bincount(at, ahead, len(types)), N_SIDE)
-        after = np.bincount(f[:, 4], np.bincount(at, behind, len(types)), N_SIDE)
+        before = np.bincount(f[:, 5], np.bincount(at, ahead, len(types)), N_SIDE)
+        after = np.bincount(f[:, 5], np.bincount(at, behind, len(types)), N_SIDE)
         for name, x, d in (("own", model.own, own), ("before", model.before, before), ("after", model.after, after)):
             opt.step(name, x, d + decay * x)
         opt.step("trans", model.trans, (joint[:, :, 1:][:, :, inner].sum(axis=2) - seen) / total)
