@@ -16,6 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from .common import table
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -61,7 +62,7 @@ def _windows(text: Column, alphabet: str, width: int, bits: float) -> Column:
     zero = F.array_repeat(F.lit(0), len(alphabet) + 1)
     start = F.struct(zero.alias("counts"), F.lit(0.0).alias("sum"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
 
-    def step(s: Column, i: Column) -> Column:
+    def step(codes: Column, s: Column, i: Column) -> Column:
         inn = F.element_at(codes, i) + 1
         out = F.when(i > width, F.element_at(codes, i - width) + 1).otherwise(F.lit(0))
         ci = F.element_at(s["counts"], inn)
@@ -74,7 +75,8 @@ def _windows(text: Column, alphabet: str, width: int, bits: float) -> Column:
         hi = F.when(hit, i.cast("int")).otherwise(s["hi"])
         return F.struct(counts.alias("counts"), total.alias("sum"), lo.alias("lo"), hi.alias("hi"))
 
-    return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi")))
+    ends = lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"))
+    return let(codes, lambda c: F.aggregate(F.sequence(F.lit(1), n), start, lambda s, i: step(c, s, i), ends))
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", out: str = "secrets") -> DataFrame:
@@ -92,16 +94,20 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", out: str = "secrets")
     hexes = F.when(text.rlike(HEX), _spans(text, HEX, 2, lambda g: F.lit(True))).otherwise(none)
     based = docs.withColumn("__base", F.concat(assign, access, hexes))
     candidates = F.when(text.rlike(CANDIDATE), _spans(text, CANDIDATE, 3, lambda g: F.lit(True))).otherwise(none)
-    listed = based.withColumn("__cand", F.filter(candidates, lambda c: ~F.exists("__base", lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"]))))
+    outside = lambda base: F.filter(candidates, lambda c: ~F.exists(base, lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"])))
+    listed = based.withColumn("__cand", let(F.col("__base"), outside))
 
     def scanned(c: Column) -> Column:
-        s = F.substring(text, c["start"] + 1, c["end"] - c["start"])
+        return let(F.substring(text, c["start"] + 1, c["end"] - c["start"]), lambda s: judged(c, s))
+
+    def judged(c: Column, s: Column) -> Column:
         allowed = F.lit(False)
         for p in ALLOW:
             allowed = allowed | s.rlike(p)
         is_hex = s.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$")
-        found = F.when(allowed, F.struct(F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))).when(is_hex, _windows(F.lower(s), *CLASSES[0][1:])).otherwise(_windows(s, *CLASSES[1][1:]))
-        return F.struct((c["start"] + found["lo"]).alias("start"), F.lit(3).alias("rank"), (c["start"] + found["hi"]).alias("end"), (found["lo"] >= 0).alias("hit"))
+        none_ = F.struct(F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
+        found = F.when(allowed, none_).when(is_hex, _windows(F.lower(s), *CLASSES[0][1:])).otherwise(_windows(s, *CLASSES[1][1:]))
+        return let(found, lambda f: F.struct((c["start"] + f["lo"]).alias("start"), F.lit(3).alias("rank"), (c["start"] + f["hi"]).alias("end"), (f["lo"] >= 0).alias("hit")))
 
     added = F.transform(F.filter(F.transform("__cand", scanned), lambda a: a["hit"]), lambda a: F.struct(a["start"], a["rank"], a["end"]))
     ready = listed.withColumn("__added", F.when(F.size("__cand") > 0, added).otherwise(none))
