@@ -17,7 +17,7 @@ from quillmill.llm.learn import labelled_sample
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold. Without labels of both kinds nothing is rejected."""
-    model = quality.fit(*labelled_sample(docs, table(spark, sf_dir, "labels"), "quality"))
+    model = quality.fit(*labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", quality.TRAIN_DOCS))
     return quality.score_quality(docs, model, docs.columns).where(F.col("score") >= quality.THRESHOLD).select(docs.columns)
 
 

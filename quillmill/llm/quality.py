@@ -23,6 +23,8 @@ N_WORD, N_SHAPE = 1 << WORD_BITS, 1 << SHAPE_BITS
 STATS = ("letters", "digits", "upper", "blank", "signs", "high", "words", "word_size", "distinct", "top", "again", "decorated", "line_words", "same_lines", "ended", "marks", "recorded")
 N = N_WORD + N_SHAPE + len(STATS) * BINS
 THRESHOLD = 0.3
+#: Documents that the machine is fitted on at most: the driver holds their features.
+TRAIN_DOCS = 3000
 REMEMBERED = 400_000
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -223,7 +225,7 @@ def score_quality(docs: DataFrame, model: Machine, keep: list[str] | None = None
 
 def op6_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(*labelled_sample(docs, table(spark, sf_dir, "labels"), "quality"))
+    model = fit(*labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", TRAIN_DOCS))
     scored = score_quality(docs, model)
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (scored.score >= THRESHOLD).cast("int").alias("predicted"))
 
