@@ -87,7 +87,10 @@ def curriculum_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs:
     allowed: rows alike share the same places. Further columns go along; those named above are replaced.
     """
     docs = docs.drop("source_size", "target", "copies", "taken", "positions")
-    own = materialize(docs.withColumn("__range", F.conv(F.substring("order_key", 1, 13), 16, 10).cast("long")), "mix")
+    own = docs.withColumn("__range", F.conv(F.substring("order_key", 1, 13), 16, 10).cast("long"))
+    if "text" not in docs.columns:
+        # narrow rows are written; texts are read again from where they are, which costs less than another copy
+        own = materialize(own, "mix")
     n = own.count()
     ranges = max(1, -(-n // range_rows))
     own = own.withColumn("__range", F.floor(F.col("__range") * ranges / float(1 << 52)).cast("int"))
