@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: A word, wherever one is counted: a run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one Arrow batch at most, so that a batch of long texts stays small.
-BATCH_ROWS = 1000
+BATCH_ROWS = 400
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
