@@ -10,7 +10,6 @@ from ..operators import cleaning, evals, spans, splits, stats, windows
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-TOKENS = F.filter(F.split("text", r"\s+"), lambda w: w != "")
 D = "WITH d AS (SELECT doc_id, text, lang, source, n_chars, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS tokens FROM documents)"
 
 
@@ -214,7 +213,7 @@ def char_quality(s, sf):
 
 
 def _tokens(s, sf) -> DataFrame:
-    return _t(s, sf, "documents").select("doc_id", TOKENS.alias("tokens"))
+    return _t(s, sf, "documents").select("doc_id", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("tokens"))
 
 
 @query("window_starts", D + ", k AS (SELECT doc_id, len(tokens) AS n, CASE WHEN len(tokens) = 0 THEN 0 WHEN len(tokens) <= 64 THEN 1 ELSE 1 + CAST(ceil((len(tokens) - 64) / 32.0) AS BIGINT) END AS k FROM d) SELECT doc_id, CAST(i AS INTEGER) AS window_idx, CASE WHEN k > 1 AND n - (k - 1) * 32 < 48 THEN CAST(round_even(i * (n - 64) / (k - 1), 0) AS BIGINT) ELSE i * 32 END AS start_pos FROM (SELECT *, unnest(range(k)) AS i FROM k)")
