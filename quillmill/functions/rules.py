@@ -25,12 +25,30 @@ MATHS = r"[αβγδεζηθικλμνξοπρστυφχψωΑΒΓΔΕΖΗΘΙΚ
 SYMBOLS = {
     "⁢": "", "⁣": "", "⁡": "",
     "−": "-", "‐": "-", "–": "-", "—": "-",
-    "“": '"', "”": '"', "‘": "'", "’": "'", "‚": ",", "„": '"', "‹": "<", "›": ">", "«": "<<", "»": ">>", "❛": "'", "❜": "'", "❝": '"', "❞": '"',
+    ": \"'\", r": "'", "‚": ",", "„": '"', "‹": "<", "›": ">", "«": "<<", "»": ">>", "❛": "'", "❜": "'", "❝": '"', "❞": '"',
     "•": "*", "‣": "*", "‧": "*", "⁃": "*", "◦": "*", "⁌": "*", "⁍": "*",
     "→": "->", "←": "<-", "↔": "<->", "⇒": "=>", "⇐": "<=", "⇔": "<=>", "⟶": "-->", "⟵": "<--", "⟷": "<-->",
     "©": "(c)", "®": "(R)", "™": "(TM)", "§": "section", "¶": "paragraph",
     "′": "'", "″": "''", "…": "...", "⋯": "...",
 }
+#: Latin letters in place of Cyrillic ones that look alike. Texts in Cyrillic are changed too.
+LOOKALIKES = {
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c",
+    "у": "y", "х": "x", "А": "A", "В": "B", "Е": "E",
+    "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P",
+    "С": "C", "Т": "T", "У": "Y", "Х": "X", "и": "u",
+    "н": "h", "т": "t", "ь": "b",
+}
+#: Signs of words and of white space as the rules mean them, for engines that know ASCII only by \w and \s.
+_W, _S = r"[\p{L}\p{N}_]", r"\s\x0b\x1c-\x1f\x85\p{Z}"
+#: Entries of tables of contents and tables, removed in this order; those from \A to \z must be the whole text.
+CONTENTS = {
+    "dotted_entry": (_W + r"+[." + _S + r"]{5,}\p{Nd}+", ""),
+    "only_dots": (r"\A[.\t" + _S + r"]{10,}\z", ""),
+    "dotted_title": (_W + r"+[.\t]{5,}" + _W + "+", ""),
+    "only_numbers": (r"\A[\p{Nd}." + _S + r"]{20,}\z", ""),
+    "tab_separated": (r"\A[^\n]*\t[^\n]*\t[^\n]*\t[^\n]*(\n?)\z", "$1"),
+}
 SPACED_DOTS, MANY_DOTS = r"(?:\. ){3,}", r"\.{4,}"
 PUNCTUATION = r"""[!-/:-@\[-`{-~]"""
 LANGUAGE_THRESHOLD, RECOVERY = 0.75, (0.70, 0.75)

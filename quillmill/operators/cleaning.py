@@ -44,19 +44,49 @@ def whitespace_changes(df: DataFrame, text: str = "text") -> DataFrame:
     })
 
 
-def normalize_symbols(c: Column) -> Column:
-    singles = {k: v for k, v in rules.SYMBOLS.items() if len(v) <= 1}
-    # translate() drops signs that have no partner, so the empty ones come last
-    order = sorted(singles, key=lambda k: not singles[k])
-    c = F.translate(c, "".join(order), "".join(singles[k] for k in order))
-    for k, v in rules.SYMBOLS.items():
-        if len(v) > 1:
+def _linear(pattern: str) -> str:
+    """A pattern that begins with a run of word signs, tried only where such a run or the last match ends: without it,
+    each sign of a long run would be tried."""
+    run = r"[\p{L}\p{N}_]+"
+    return r"(?:(?<![\p{L}\p{N}_])|\G)" + run + "+" + pattern[len(run) :] if pattern.startswith(run) else pattern
+
+
+def _symbol_steps() -> list[tuple[str, str]]:
+    """Patterns and replacements in their order, up to the rules of single signs."""
+    invisible = [k for k, v in rules.SYMBOLS.items() if not v]
+    steps = [("[" + "".join(invisible) + "]", "")]
+    steps += [(_linear(p), r) for p, r in rules.CONTENTS.values()]
+    return [*steps, (rules.MANY_DOTS, "..."), (rules.SPACED_DOTS, " ... ")]
+
+
+def _signs(lookalikes: bool) -> dict[str, str]:
+    return (rules.LOOKALIKES if lookalikes else {}) | {k: v for k, v in rules.SYMBOLS.items() if v}
+
+
+def normalize_symbols(c: Column, lookalikes: bool = True) -> Column:
+    """Invisible signs, entries of contents and tables, dots, then signs. `lookalikes` rewrites Cyrillic letters, which
+    is meant for texts in Latin script: a caller may choose it by language."""
+    for p, r in _symbol_steps():
+        c = F.regexp_replace(c, p, r)
+    signs = _signs(lookalikes)
+    singles = {k: v for k, v in signs.items() if len(k) == len(v) == 1}
+    c = F.translate(c, "".join(singles), "".join(singles.values()))
+    for k, v in signs.items():
+        if k not in singles:
             c = F.replace(c, F.lit(k), F.lit(v))
-    return F.regexp_replace(F.regexp_replace(c, rules.MANY_DOTS, "..."), rules.SPACED_DOTS, " ... ")
-
-
-def symbol_count(c: Column) -> Column:
-    return count(c, "[" + "".join(rules.SYMBOLS) + "]")
+    return c
+
+
+def symbol_count(c: Column, lookalikes: bool = True) -> Column:
+    """How many matches the rules of normalize_symbols() have, one after the other; 0 if they change nothing. Straight
+    quotation marks count, as one rule puts them in their own place."""
+    text, n = c, F.lit(0).cast("long")
+    for p, r in _symbol_steps():
+        n = n + count(text, p)
+        text = F.regexp_replace(text, p, r)
+    signs = "[" + "".join(k for k in _signs(lookalikes) if len(k) == 1) + '"]'
+    n = n + count(text, signs) + count(text, ": \"'\", r")
+    return F.when(c != normalize_symbols(c, lookalikes), n).otherwise(F.lit(0).cast("long"))
 
 
 def lines(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import cleaning, evals, spans, splits, stats, windows
+from ..operators import citations, cleaning, corpus_cleaning, evals, sections, spans, splits, stats, windows
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -102,13 +102,24 @@ def norm_change_flags(s, sf):
 
 
 def _symbols() -> str:
-    text = "text"
-    for k, v in rules.SYMBOLS.items():
+    """The normalised text and the number of matches, rule by rule."""
+    found = []
+    invisible = "[" + "".join(k for k, v in rules.SYMBOLS.items() if not v) + "]"
+    steps = [(invisible, ""), *rules.CONTENTS.values(), (rules.MANY_DOTS, "..."), (rules.SPACED_DOTS, " ... ")]
+    ctes, last = ["s0 AS (SELECT doc_id, text AS raw, text AS t, 0 AS n FROM documents)"], 0
+    for i, (p, r) in enumerate(steps, 1):
+        r = r.replace("$1", "\\1")
+        ctes.append(f"s{i} AS (SELECT doc_id, raw, regexp_replace(t, {_q(p)}, {_q(r)}, 'g') AS t, n + len(regexp_extract_all(t, {_q(p)})) AS n FROM s{i - 1})")
+        last = i
+    text = "t"
+    for k, v in (rules.LOOKALIKES | {k: v for k, v in rules.SYMBOLS.items() if v}).items():
         text = f"replace({text}, {_q(k)}, {_q(v)})"
-    return f"regexp_replace(regexp_replace({text}, '\\.{{4,}}', '...', 'g'), '(?:\\. ){{3,}}', ' ... ', 'g')"
+        found.append(f"(length(t) - length(replace(t, {_q(k)}, ''))) // {len(k)}")
+    marks = " + ".join([*found, "length(t) - length(replace(t, '\"', ''))"])
+    return f"WITH {', '.join(ctes)} SELECT doc_id, {text} AS clean, CAST(CASE WHEN raw <> {text} THEN n + {marks} ELSE 0 END AS BIGINT) AS n FROM s{last}"
 
 
-@query("symbol_normalize", f"SELECT doc_id, {_symbols()} AS clean, CAST(len(regexp_extract_all(text, '[{''.join(rules.SYMBOLS)}]')) AS BIGINT) AS n FROM documents")
+@query("symbol_normalize", _symbols())
 def symbol_normalize(s, sf):
     return _t(s, sf, "documents").select("doc_id", cleaning.normalize_symbols(F.col("text")).alias("clean"), cleaning.symbol_count(F.col("text")).alias("n"))
 
@@ -146,6 +157,50 @@ def figure_table_lines(s, sf):
     return _t(s, sf, "documents").select("doc_id", cleaning.figure_lines(F.col("text")).alias("text"))
 
 
+def _scan(s, sf, **options) -> DataFrame:
+    return citations.scan_citations(_t(s, sf, "documents").select("doc_id", "text"), **options)
+
+
+@query("citation_validated")
+def citation_validated(s, sf):
+    return _scan(s, sf).select("doc_id", "text", F.size("matches").alias("n_matches"), F.size(F.filter("matches", lambda m: m["accepted"])).alias("n_accepted"))
+
+
+@query("citation_validated_legacy")
+def citation_validated_legacy(s, sf):
+    return _scan(s, sf, legacy=True).select("doc_id", "text", F.size("matches").alias("n_matches"), F.size(F.filter("matches", lambda m: m["accepted"])).alias("n_accepted"))
+
+
+@query("citation_precision")
+def citation_precision(s, sf):
+    return citations.type_totals(citations.per_document(_scan(s, sf)))
+
+
+@query("citation_rejections")
+def citation_rejections(s, sf):
+    return citations.rejected_samples(_scan(s, sf))
+
+
+@query("citation_document_totals")
+def citation_document_totals(s, sf):
+    return citations.document_totals(citations.per_document(_scan(s, sf)))
+
+
+@query("appendix_sections")
+def appendix_sections(s, sf):
+    return sections.drop_sections(_t(s, sf, "documents").select("doc_id", "text")).select("doc_id", "text", F.size("sections").alias("n_sections"))
+
+
+@query("repetition_clean")
+def repetition_clean(s, sf):
+    return sections.drop_repeats(_t(s, sf, "documents").select("doc_id", "text"))
+
+
+@query("corpus_clean")
+def corpus_clean(s, sf):
+    return corpus_cleaning.clean_corpus(_t(s, sf, "documents")).select("doc_id", "text")
+
+
 @query("clean_summary")
 def clean_summary(s, sf):
     docs = _t(s, sf, "documents").withColumn("before", F.length("text"))
