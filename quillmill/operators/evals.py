@@ -54,3 +54,94 @@ def thirds(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
     third = F.floor(n / 3)
     part = F.when(i < third, "early").when(i < 2 * third, "middle").otherwise("late")
     return df.withColumn("part", part).groupBy(group).pivot("part", ["early", "middle", "late"]).agg(F.avg(value))
+
+
+def progression(df: DataFrame, row: str, step: str, value: str, steps: list[int]) -> DataFrame:
+    """A row for each subject, a column `{step}k` for each of the steps (their list bounds the width) and the mean AVG of
+    those present; the first value of a step by value counts, a missing one is null."""
+    wide = df.groupBy(row).pivot(step, steps).agg(F.min(value)).withColumnsRenamed({str(s): f"{s // 1000}k" for s in steps})
+    cells = F.filter(F.array(*[F.col(f"`{s // 1000}k`") for s in steps]), lambda x: x.isNotNull())
+    total = F.aggregate(cells, F.lit(0.0), lambda a, x: a + x)
+    return wide.withColumn("AVG", F.when(F.size(cells) > 0, total / F.size(cells)))
+
+
+def group_stats(df: DataFrame, group: str, value: str) -> DataFrame:
+    """n, mean, both deviations (sample and population), lowest, highest and their distance; missing values don't count."""
+    v = F.col(value)
+    return df.groupBy(group).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std_sample"), F.stddev_pop(v).alias("std"), F.min(v).alias("worst"), F.max(v).alias("best"), (F.max(v) - F.min(v)).alias("range"))
+
+
+def category_means(df: DataFrame, name: str, value: str, categories: dict[str, list[str]], by: str) -> DataFrame:
+    """(by, category, mean): a task belongs to each category of which its name contains a part; 0 where none does."""
+    hits = F.array_compact(F.array(*[F.when(F.exists(F.array(*[F.lit(p) for p in parts]), lambda p: F.contains(F.lower(name), F.lower(p))), F.lit(c)) for c, parts in categories.items()]))
+    means = df.select(by, value, F.explode(hits).alias("category")).groupBy(by, "category").agg(F.avg(value).alias("mean"))
+    grid = df.select(by).distinct().select(by, F.explode(F.array(*[F.lit(c) for c in categories])).alias("category"))
+    return grid.join(means, [by, "category"], "left").fillna(0.0, ["mean"])
+
+
+def difference_stats(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """One row about a - b over the cells that both have."""
+    d = a.join(b.select(*keys, F.col(value).alias("__b")), keys).select((F.col(value) - F.col("__b")).alias("d")).where("d is not null")
+    n, better = F.count("*"), F.count_if(F.col("d") > 0)
+    return d.agg(n.alias("n"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("std"), better.alias("better"), F.count_if(F.col("d") < 0).alias("worse"), F.when(n > 0, better / n).alias("share_better"), F.max("d").alias("highest"), F.min("d").alias("lowest"))
+
+
+def always_better(df: DataFrame, group: str, delta: str) -> DataFrame:
+    """Groups whose every delta is above 0; a missing one is not."""
+    return df.groupBy(group).agg(F.bool_and(F.coalesce(F.col(delta) > 0, F.lit(False))).alias("all")).where("all").select(group)
+
+
+def fuzzy_names(names: DataFrame, known: DataFrame, name: str, known_name: str) -> DataFrame:
+    """(name, known_name): the first known name by code point that contains the name or is contained in it, any case.
+    Both sides are lists of task names, a few thousand at most; texts don't belong here."""
+    a, b = names.select(name).distinct(), known.select(known_name).distinct()
+    low, other = F.lower(name), F.lower(known_name)
+    return a.join(b, F.contains(low, other) | F.contains(other, low)).groupBy(name).agg(F.min(known_name).alias(known_name))
+
+
+def deduplicate(df: DataFrame, keys: list[str], order: str, last: bool = True) -> DataFrame:
+    """One row for each key: the last by `order`, or the first. Partial aggregation, so a hot key isn't sorted."""
+    row = F.struct(*df.columns)
+    pick = F.max_by(row, order) if last else F.min_by(row, order)
+    return df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(pick.alias("__row")).select("__row.*")
+
+
+def priority(c: Column, order: list[str]) -> Column:
+    """The place of a value in a fixed list from 0; 99: not there."""
+    at = F.array_position(F.array(*[F.lit(o) for o in order]), c)
+    return F.when(at > 0, at - 1).otherwise(F.lit(99)).cast("int")
+
+
+def official_or_mean(total: Column, tasks: Column) -> Column:
+    """The official total, else the mean of the tasks (an array) that have a score."""
+    known = F.filter(tasks, lambda x: x.isNotNull() & ~F.isnan(x))
+    return F.coalesce(total, F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known)))
+
+
+def checkpoint_of(path: Column) -> Column:
+    """(step, epoch, ppl) of checkpoint files: step-N-val_ppl-X, step-step=N, epoch-E-step-N."""
+    part = lambda p, kind: F.regexp_extract(path, p, 1).try_cast(kind)
+    step = F.coalesce(part(r"step-step=(\d+)", "int"), part(r"step-(\d+)", "int"))
+    return F.struct(step.alias("step"), part(r"epoch-(\d+)-step", "int").alias("epoch"), part(r"val_ppl-(\d+(?:\.\d+)?)", "double").alias("ppl"))
+
+
+def lowest_perplexity(files: DataFrame, group: str, path: str = "path", modified: str = "modified") -> DataFrame:
+    """The checkpoint of each group with the lowest perplexity; without any, the one named last, else the newest."""
+    rows = files.withColumn("__c", checkpoint_of(F.col(path)))
+    w = Window.partitionBy(group).orderBy(F.col("__c.ppl").asc_nulls_last(), F.when(F.col(path).contains("last"), 0).otherwise(1), F.desc(modified), path)
+    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").select(*files.columns, "__c.step", "__c.ppl")
+
+
+def eta(log: DataFrame, job: str, line: str, seconds: str) -> DataFrame:
+    """(job, done, total, eta): lines `completed_tasks=a/b` with their time; what is left at the speed between the first
+    and the last; null where nothing moved."""
+    at = log.select(job, F.col(seconds).cast("double").alias("s"), F.regexp_extract(line, r"completed_tasks=(\d+)/", 1).try_cast("long").alias("a"), F.regexp_extract(line, r"completed_tasks=\d+/(\d+)", 1).try_cast("long").alias("b")).where("a is not null")
+    out = at.groupBy(job).agg(F.min_by("a", "s").alias("a0"), F.max_by("a", "s").alias("done"), F.max_by("b", "s").alias("total"), (F.max("s") - F.min("s")).alias("took"))
+    return out.select(job, "done", "total", F.when(F.col("done") > F.col("a0"), (F.col("total") - F.col("done")) * F.col("took") / (F.col("done") - F.col("a0"))).alias("eta"))
+
+
+def markdown(df: DataFrame, title: str, rows: int = 10) -> str:
+    """The first `rows` rows of a sorted report as a Markdown table."""
+    head = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
+    cell = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
+    return "\n".join([*head, *["| " + " | ".join(map(cell, r)) + " |" for r in df.limit(rows).collect()]])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.rewriting import rewrite
 from .cleaning import count
 
 
@@ -65,3 +66,17 @@ def score_report(df: DataFrame, score: str, threshold: float = rules.LANGUAGE_TH
         F.sum(F.when(kept, F.length(text))).alias("kept_chars"), F.sum(F.when(~kept, F.length(text))).alias("removed_chars"),
         F.avg(s).alias("mean_score"), F.avg(F.when(kept, s)).alias("mean_kept"), F.avg(F.when(~kept, s)).alias("mean_removed"), F.min(s).alias("lowest"), F.max(s).alias("highest"),
     )
+
+
+def with_token_count(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
+    """df with `n_tokens` by a tokenizer file of the tokenizers library, without special tokens; null for a null text."""
+    known: list = []
+
+    def work(t: str) -> dict:
+        if not known:
+            from tokenizers import Tokenizer
+
+            known.append(Tokenizer.from_file(tokenizer))
+        return {"text": t, "n_tokens": len(known[0].encode(t, add_special_tokens=False).ids)}
+
+    return rewrite(df, text, work, "n_tokens long")

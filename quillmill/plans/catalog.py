@@ -395,3 +395,49 @@ def tokenizer_texts(s, sf):
     from ..sources.corpus import tokenizer_texts as texts
 
     return texts(_t(s, sf, "documents"))
+
+
+@query("eval_group_stats", _EV + "SELECT subject, count(acc) AS n, round(avg(acc), 6) AS mean, round(stddev_samp(acc), 6) AS std_sample, round(stddev_pop(acc), 6) AS std, round(min(acc), 6) AS worst, round(max(acc), 6) AS best, round(max(acc) - min(acc), 6) AS range FROM e GROUP BY subject")
+def eval_group_stats(s, sf):
+    out = evals.group_stats(_ev(s, sf), "subject", "acc")
+    return out.select("subject", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std_sample", "std", "worst", "best", "range")])
+
+
+_STEPS = [1000, 2000, 3000]
+
+
+def _steps(s, sf) -> DataFrame:
+    """Scores by subject and a step that a label's id stands for."""
+    step = (F.col("doc_id") % 3 + 1) * 1000
+    return _t(s, sf, "documents").join(_t(s, sf, "labels"), "doc_id").groupBy(F.col("lang").alias("subject"), step.cast("int").alias("step")).agg(F.avg("quality").alias("acc"))
+
+
+_ST = "WITH e AS (SELECT lang AS subject, CAST((doc_id % 3 + 1) * 1000 AS INTEGER) AS step, avg(quality) AS acc FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2) "
+_CELL = ", ".join(f'round(max(acc) FILTER (step = {n}), 6) AS "{n // 1000}k"' for n in _STEPS)
+
+
+@query("eval_progression", _ST + f'SELECT subject, {_CELL}, round(avg(acc), 6) AS "AVG" FROM e GROUP BY subject')
+def eval_progression(s, sf):
+    out = evals.progression(_steps(s, sf), "subject", "step", "acc", _STEPS)
+    return out.select("subject", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in out.columns if c != "subject"])
+
+
+@query("eval_difference_stats", _EV + "SELECT count(*) AS n, round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS std, count(*) FILTER (d > 0) AS better, count(*) FILTER (d < 0) AS worse, round(count(*) FILTER (d > 0) / count(*), 6) AS share_better, round(max(d), 6) AS highest, round(min(d), 6) AS lowest FROM (SELECT a.acc - b.acc AS d FROM e a JOIN e b USING (subject) WHERE a.model = 'src1' AND b.model = 'src0')")
+def eval_difference_stats(s, sf):
+    e = _ev(s, sf)
+    out = evals.difference_stats(e.where("model = 'src1'"), e.where("model = 'src0'"), ["subject"], "acc")
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+@query("eval_category_means", _EV + "SELECT m.model, c.category, round(coalesce(avg(e.acc) FILTER (list_contains(c.parts, e.subject)), 0), 6) AS mean FROM (SELECT DISTINCT model FROM e) m CROSS JOIN (VALUES ('germanic', ['de', 'en']), ('romance', ['fr', 'es']), ('none', ['zz'])) c(category, parts) JOIN e ON e.model IS NOT DISTINCT FROM m.model GROUP BY ALL")
+def eval_category_means(s, sf):
+    out = evals.category_means(_ev(s, sf).where("model is not null"), "subject", "acc", {"germanic": ["de", "en"], "romance": ["fr", "es"], "none": ["zz"]}, "model")
+    return out.withColumn("mean", F.round("mean", 6))
+
+
+@query("token_count_summary")
+def token_count_summary(s, sf):
+    import public_tokenizers
+
+    docs = stats.with_token_count(_t(s, sf, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return stats.summary(docs, ["n_tokens"])
