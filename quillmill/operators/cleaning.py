@@ -80,12 +80,12 @@ def normalize_symbols(c: Column, lookalikes: bool = True) -> Column:
 def symbol_count(c: Column, lookalikes: bool = True) -> Column:
     """How many matches the rules of normalize_symbols() have, one after the other; 0 if they change nothing. Straight
     quotation marks count, as one rule puts them in their own place."""
-    text, n = c, F.lit(0).cast("long")
+    state = F.struct(c.alias("t"), F.lit(0).cast("long").alias("n"))
     for p, r in _symbol_steps():
-        n = n + count(text, p)
-        text = F.regexp_replace(text, p, r)
+        # named, so that each rule's text is computed once and not again by all later rules
+        state = let(state, lambda e: F.struct(F.regexp_replace(e["t"], p, r).alias("t"), (e["n"] + count(e["t"], p)).alias("n")))
     signs = "[" + "".join(k for k in _signs(lookalikes) if len(k) == 1) + '"]'
-    n = n + count(text, signs) + count(text, ": \"'\", r")
+    n = let(state, lambda e: e["n"] + count(e["t"], signs) + count(e["t"], ": \"'\", r"))
     return F.when(c != normalize_symbols(c, lookalikes), n).otherwise(F.lit(0).cast("long"))
 
 
