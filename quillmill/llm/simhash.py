@@ -5,11 +5,15 @@ agrees exactly on one of budget + 1 blocks of its bits; each view turns one bloc
 dealt out by view and block, and inside a task a trie self-join accumulates differing bits and prunes by the budget.
 Blocks are split again the same way (`depths`), so the codes of one task are bounded however skewed a block is.
 Tasks hand on a spanning forest, never all pairs; components follow by alternating stars.
+
+For near_copies() that join only proposes: what it connects is a cluster in which the sets of shingles themselves
+decide, block of members by block.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +30,12 @@ from .trie import trie_self_join
 ROWS = 300_000
 #: Shingles hashed at once, which bounds what a very long text needs.
 PIECE = 1 << 15
+#: Bits that may differ in a table.
+BUDGET = 3
+#: Words of a fingerprint at least, those that travel with a code, and standard deviations that a proposal may be off.
+WORDS, CARRIED, WIDE = 8, 3, 4.0
+#: Members of a cluster that one side of a task compares, and rows that a task holds at once, at least.
+BLOCK, HELD = 2048, 1000
 
 
 def shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
@@ -97,14 +107,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_arrow(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, fp bigint")
 
 
-def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, tables: int) -> DataFrame:
+def wide_fingerprints(rows: DataFrame, words: int, tables: int) -> DataFrame:
+    """Rows (id, text, hash) to (id, hash, fp: binary)."""
+
     def run(batches):
         for b in batches:
-            fp = [wide_fingerprint(t, words, tables).astype(">u8").tobytes() for t in encoded(b, text_col)]
-            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(fp, type=pa.binary())], names=[id_col, "fp"])
+            fp = [wide_fingerprint(t, words, tables).astype(">u8").tobytes() for t in encoded(b)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("hash"), pa.array(fp, type=pa.binary())], names=["id", "hash", "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, fp binary")
+    kind = rows.schema["id"].dataType.simpleString()
+    return map_arrow(rows.select("id", "text", "hash"), run, f"id {kind}, hash bigint, fp binary")
 
 
 def views(bits: int, budget: int, depths: int) -> list[tuple[np.ndarray, int]]:
@@ -131,15 +143,22 @@ def _reorder(codes: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
+def _words(fp: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(fp), dtype=">u8").astype(np.uint64).reshape(len(fp), -1)
+
+
+def _slice(fp: np.ndarray, at: int, bits: int) -> np.ndarray:
+    """Bits at .. at + bits of each row, at the top of a code."""
+    w, shift = divmod(at, 64)
+    code = fp[:, w] << np.uint64(shift)
+    return code | fp[:, w + 1] >> np.uint64(64 - shift) if shift + bits > 64 else code
+
+
 def _forest(table_: pa.Table, seen: list[tuple[np.ndarray, int]], bits: int, budget: int, limit: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Spanning links (node, smallest node) of the rows (view, code, node[, fp])."""
     view, node = table_.column("view").to_numpy(), table_.column("node").to_numpy()
     codes = table_.column("code").to_numpy().view(np.uint64)
-    wide = None
-    if limit is not None:
-        raw = table_.column("fp").combine_chunks()
-        raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
-        wide = np.array([np.frombuffer(x, dtype=">u8") for x in raw.to_pylist()]).astype(np.uint64)
+    wide = _words(table_.column("fp").to_pylist()) if limit is not None else None
     cuts = group_slices([view])
     for lo, hi in itertools.pairwise(cuts.tolist()):
         order = lo + np.argsort(codes[lo:hi], kind="stable")
@@ -159,18 +178,22 @@ def _forest(table_: pa.Table, seen: list[tuple[np.ndarray, int]], bits: int, bud
 
 
 def trie_links(codes: DataFrame, bits: int, budget: int, tables: int = 1, depths: int = 1, limit: int | None = None) -> DataFrame:
-    """Rows (node: long, fp: binary, 8 bytes a table) to links (a, b) that connect all rows of which some table's
-    first `bits` bits differ in `budget` at most and, where `limit` is given, whose whole fp differs in `limit` at most."""
+    """Rows (node: long, fp: binary of 8-byte words) to links (a, b) that connect all rows of which some table, the next
+    `bits` bits of fp, differs in `budget` bits at most and, where `limit` is given, whose first CARRIED words differ in
+    `limit` at most."""
     seen = views(bits, budget, depths)
 
     def spread(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            fp = np.frombuffer(b"".join(b.column("fp").to_pylist()), dtype=">u8").astype(np.uint64).reshape(b.num_rows, tables)
+            fp = _words(b.column("fp").to_pylist())
+            if limit is not None:
+                carried = pa.array([x.tobytes() for x in fp[:, :CARRIED].astype(">u8")], type=pa.binary())
             for t in range(tables):
+                own = _slice(fp, t * bits, bits)
                 for v, (order, exact) in enumerate(seen):
-                    code = _reorder(fp[:, t], order)
+                    code = _reorder(own, order)
                     cols = [
                         pa.array(np.full(b.num_rows, t * len(seen) + v, dtype=np.int32)),
                         pa.array((code >> np.uint64(64 - exact)).view(np.int64)),
@@ -179,7 +202,7 @@ def trie_links(codes: DataFrame, bits: int, budget: int, tables: int = 1, depths
                     ]
                     names = ["view", "block", "code", "node"]
                     if limit is not None:
-                        cols.append(b.column("fp"))
+                        cols.append(carried)
                         names.append("fp")
                     yield pa.RecordBatch.from_arrays(cols, names=names)
 
@@ -210,25 +233,102 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fps.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, tables: int = 8, budget: int = 3) -> DataFrame:
-    """(id_col, fp, component_id) at a similarity of the sets of shingles of `similarity` (Jaccard) or more.
+def differing(similarity: float) -> float:
+    """The probability, at most, that a bit of the fingerprints of two sets at this similarity (Jaccard) differs.
 
-    Sets at Jaccard j meet at the cosine 2j / (1 + j), and bits of their fingerprints differ with the probability
-    arccos / pi. The trie join runs on the first bits of `tables` independent fingerprints (as many bits as keep
-    chance meetings per document the same at every size); a pair that one of them proposes is linked if all
-    64 * tables bits together differ in no more than that share. Nulls and empties as in simhash_components().
+    Large sets meet at the cosine 2j / (1 + j) at least, which gives arccos / pi; of small sets, whose bits are no
+    majority of many, all splits are counted.
     """
-    import math
+    worst = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    half = lambda n: [math.comb(n, k) / 2**n for k in range(n + 1)]
+    for common in range(1, 41):
+        apart = int(common * (1 - similarity) / similarity + 1e-9)
+        for a in range(apart // 2 + 1):
+            b, total = apart - a, 0.0
+            for k, w in enumerate(half(common)):
+                x, y = (sum(p for i, p in enumerate(half(n)) if 2 * (k + i) > common + n) for n in (a, b))
+                total += w * (x * (1 - y) + y * (1 - x))
+            worst = max(worst, total)
+    return worst
+
+
+def proposed(similarity: float, words: int) -> int:
+    """Differing bits of so many words that a pair at the similarity exceeds with next to no probability."""
+    n, p = 64 * words, differing(similarity)
+    return int(n * p + WIDE * math.sqrt(n * p * (1 - p)))
+
+
+def _decided(t: pa.Table, words: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Spanning links (node, smallest node) of the rows (root, p, q, own, node, fp, text) by the Jaccard of their sets."""
+    root, p, q, own, node = (t.column(c).to_numpy() for c in ("root", "p", "q", "own", "node"))
+    fp = _words(t.column("fp").to_pylist())
+    texts = t.column("text").cast(pa.binary())
+    limit = proposed(similarity, fp.shape[1])
+    for lo, hi in itertools.pairwise(group_slices([root, p, q]).tolist()):
+        at = lo + np.unique(node[lo:hi], return_index=True)[1]  # a repeated row comes twice
+        sets = []
+        for k in at.tolist():
+            parts = list(shingle_hashes(texts[k].as_py(), words))
+            sets.append(np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64))
+        size, left = np.array([len(x) for x in sets]), own[at] == p[lo]
+        crossing, wide, forest = p[lo] != q[lo], fp[at], LocalForest(len(at))
+        for i in range(len(at)):
+            if crossing and not left[i]:
+                continue
+            j = np.flatnonzero(~left) if crossing else np.arange(i + 1, len(at))
+            j = j[(forest.roots(j) != forest.parent[i]) & (np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i]) - 1e-9) & (size[j] > 0)]
+            j = j[np.bitwise_count(wide[j] ^ wide[i]).sum(axis=1, dtype=np.int64) <= limit]
+            for s in range(0, len(j), 256):
+                some = j[s : s + 256]
+                every = np.concatenate([sets[k] for k in some])
+                place = np.minimum(np.searchsorted(sets[i], every), size[i] - 1)
+                both = np.add.reduceat((sets[i][place] == every).astype(np.int64), np.r_[0, np.cumsum(size[some])[:-1]])
+                some = some[both >= similarity * (size[some] + size[i] - both) - 1e-9]
+                forest.link(np.full(len(some), i), some)
+        linked = forest.parent != np.arange(len(at))
+        yield node[at[linked]], node[at[forest.parent[linked]]]
+
+
+def set_links(members: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Members (root, blocks, node, fp, text, own) of clusters to links (a, b) that connect all of one cluster whose
+    sets of shingles reach the similarity. Each pair of blocks is a task's group of its own."""
+    keys = ["root", "p", "q"]
+
+    def decide(batches):
+        for t in whole_groups(batches, keys, HELD):
+            for a, b in _decided(t, words, similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "fp", "text")
+    return map_arrow(dealt.repartition(*keys).sortWithinPartitions(*keys), decide, "a bigint, b bigint")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id_col, fp, component_id) at a similarity of the sets of shingles of `similarity` (Jaccard) or more.
 
-    fps = materialize(wide_fingerprints(docs, id_col, text_col, words, tables), "wide")
-    least = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("least")).withColumn("node", F.xxhash64("fp")), "distinct")
-    bits = min(60, max(32, 4 * math.ceil((math.log2(max(2, least.count())) + 14) / 4)))
-    limit = int(64 * tables * math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi)
-    roots = connected_components(trie_links(least.select("node", "fp"), bits, budget, tables, 1, limit))
+    The trie join on the eight tables proposes: it connects documents into clusters by a limit that a pair at the
+    similarity passes next to surely. Inside a cluster the sets themselves decide, so no link lies below the
+    similarity. Documents of equal fingerprints are one. Nulls and empties as in simhash_components().
+    """
+    bits, tables = min(60, max(32, 4 * math.ceil((math.log2(max(2, docs.count())) + 14) / 4))), 8
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    read = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    fps = materialize(wide_fingerprints(read, words, max(WORDS, math.ceil(bits * tables / 64))), "wide")
+    # the text of a fingerprint is that of one of its rows
+    least = fps.groupBy("fp").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull(), "id", "hash")).alias("r"))
+    least = materialize(least.select("fp", "least", "r.id", "r.hash", F.xxhash64("fp").alias("node")), "distinct")
+    near = connected_components(trie_links(least.select("node", "fp"), bits, BUDGET, tables, 1, proposed(similarity, CARRIED)))
+    clusters = materialize(least.join(near, "node").select("root", "node", "fp", F.col("id").alias("i"), F.col("hash").alias("h")), "clusters")
+    large = clusters.groupBy("root").count().where(F.col("count") > BLOCK).select("root", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    members = clusters.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    members = members.withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int"))
+    members = read.join(members, (F.col("hash") == F.col("h")) & F.col("id").eqNullSafe(F.col("i")))
+    roots = connected_components(set_links(members, words, similarity))
     rooted = materialize(least.join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root")), "rooted")
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialize(rooted.join(lowest, "root").select("fp", "component_id"), "named")
-    return fps.join(named, "fp").select(id_col, "fp", "component_id")
+    return fps.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def op1_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 import xxhash
 
 from quillmill.llm.components import connected_components
+from quillmill.llm import simhash
 from quillmill.llm.simhash import near_copies, op1_simhash_trie, simhash_components
 from quillmill.llm.trie import trie_self_join
 
@@ -106,3 +107,19 @@ def test_near_copies_by_similarity(spark):
     assert whole >= 55
     grouped = {i for ids in group.values() for i in ids}
     assert all(got[i] == i for i, _ in rows if i not in grouped)
+
+
+@pytest.mark.parametrize("block", [2048, 40])
+def test_the_sets_decide(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng, rows = np.random.default_rng(8), []
+    for g in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+        for changed in (0, *((22,) if g % 2 else (20,))):  # at the end: sets of 196 with 174 (0.798) or 176 (0.815) in common
+            rows.append((len(rows), " ".join(base[: 200 - changed] + [f"v{x}" for x in rng.integers(0, 10**6, changed)])))
+    hub = [f"h{x}" for x in rng.integers(0, 10**6, 200)]
+    rows += [(len(rows) + k, " ".join([*hub, f"t{k}"])) for k in range(100)]  # one cluster of many blocks
+    rows += [(None, "one two"), (None, "one two"), (999, "one two")]
+    got = {r.doc_id: r.component_id for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[2 * g + 1] == 2 * g for g in range(60)] == [g % 2 == 0 for g in range(60)]
+    assert {got[i] for i in range(120, 220)} == {120} and got[999] == got[None] == 999
