@@ -6,8 +6,8 @@ dealt out by view and block, and inside a task a trie self-join accumulates diff
 Blocks are split again the same way (`depths`), so the codes of one task are bounded however skewed a block is.
 Tasks hand on a spanning forest, never all pairs; components follow by alternating stars.
 
-For near_copies() that join only proposes: what it connects is a cluster in which the sets of shingles themselves
-decide, block of members by block.
+For near_copies() that join only proposes: plan() sets the bits and tables by the number of rows, and what it connects
+is a cluster in which the sets of shingles themselves decide, block of members by block.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ from .trie import trie_self_join
 ROWS = 300_000
 #: Shingles hashed at once, which bounds what a very long text needs.
 PIECE = 1 << 15
-#: Bits that may differ in a table.
-BUDGET = 3
+#: Probability that a pair at the similarity shares a table; bits that may differ there; least bits, and bits beyond
+#: log2 of the rows, which keep chance meetings of a row few.
+RECALL, BUDGET, LEAST_BITS, SPARE_BITS = 0.995, 3, 24, 6
 #: Words of a fingerprint at least, those that travel with a code, and standard deviations that a proposal may be off.
 WORDS, CARRIED, WIDE = 8, 3, 4.0
 #: Members of a cluster that one side of a task compares, and rows that a task holds at once, at least.
@@ -252,6 +253,20 @@ def differing(similarity: float) -> float:
     return worst
 
 
+def shared(similarity: float, bits: int, tables: int, budget: int = BUDGET) -> float:
+    """The probability that a pair at this similarity differs in `budget` bits at most in one table or more."""
+    p = differing(similarity)
+    one = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(budget + 1))
+    return 1 - (1 - one) ** tables
+
+
+def plan(rows: int, similarity: float = 0.8, recall: float = RECALL, budget: int = BUDGET) -> tuple[int, int]:
+    """(bits, tables): more bits for more rows, so that chance meetings of a row stay few, and enough tables that a
+    pair at the similarity shares one with the probability `recall` whatever the number of rows."""
+    bits = min(60, max(LEAST_BITS, math.ceil(math.log2(max(2, rows))) + SPARE_BITS))
+    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - shared(similarity, bits, 1, budget))))
+
+
 def proposed(similarity: float, words: int) -> int:
     """Differing bits of so many words that a pair at the similarity exceeds with next to no probability."""
     n, p = 64 * words, differing(similarity)
@@ -307,11 +322,11 @@ def set_links(members: DataFrame, words: int, similarity: float) -> DataFrame:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id_col, fp, component_id) at a similarity of the sets of shingles of `similarity` (Jaccard) or more.
 
-    The trie join on the eight tables proposes: it connects documents into clusters by a limit that a pair at the
+    The trie join on the tables of plan() proposes: it connects documents into clusters by a limit that a pair at the
     similarity passes next to surely. Inside a cluster the sets themselves decide, so no link lies below the
     similarity. Documents of equal fingerprints are one. Nulls and empties as in simhash_components().
     """
-    bits, tables = min(60, max(32, 4 * math.ceil((math.log2(max(2, docs.count())) + 14) / 4))), 8
+    bits, tables = plan(docs.count(), similarity)
     text = F.coalesce(F.col(text_col), F.lit(""))
     read = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
     fps = materialize(wide_fingerprints(read, words, max(WORDS, math.ceil(bits * tables / 64))), "wide")

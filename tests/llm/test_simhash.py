@@ -9,7 +9,7 @@ import xxhash
 
 from quillmill.llm.components import connected_components
 from quillmill.llm import simhash
-from quillmill.llm.simhash import near_copies, op1_simhash_trie, simhash_components
+from quillmill.llm.simhash import near_copies, op1_simhash_trie, plan, proposed, shared, simhash_components, wide_fingerprint
 from quillmill.llm.trie import trie_self_join
 
 
@@ -123,3 +123,21 @@ def test_the_sets_decide(spark, monkeypatch, block):
     got = {r.doc_id: r.component_id for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[2 * g + 1] == 2 * g for g in range(60)] == [g % 2 == 0 for g in range(60)]
     assert {got[i] for i in range(120, 220)} == {120} and got[999] == got[None] == 999
+
+
+@pytest.mark.parametrize("rows", [10**4, 10**6, 10**8, 10**10])
+def test_the_plan_meets_a_pair_at_the_similarity_at_every_size(rows):
+    bits, tables = plan(rows)
+    assert shared(0.8, bits, tables) >= 0.99
+    assert rows / 2**bits <= 2**-6 or rows <= 2**18
+
+
+def test_pairs_at_the_similarity_share_a_table():
+    bits, tables = plan(10**8)
+    words, met, rng = -(-bits * tables // 64), 0, np.random.default_rng(5)
+    for _ in range(200):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 184)]  # 180 shingles; 20 of them change: 160 of 200 stay
+        a, b = (wide_fingerprint(" ".join(t).encode(), 5, words)[None] for t in (base, [*base[:-20], *(f"v{x}" for x in rng.integers(0, 10**6, 20))]))
+        apart = [int(np.bitwise_count((simhash._slice(a, t * bits, bits) ^ simhash._slice(b, t * bits, bits)) >> np.uint64(64 - bits))[0]) for t in range(tables)]
+        met += min(apart) <= simhash.BUDGET and int(np.bitwise_count(a ^ b)[0, : simhash.CARRIED].sum()) <= proposed(0.8, simhash.CARRIED)
+    assert met >= 197
