@@ -35,7 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of each secret; n_chars follows the text."""
     text = secrets.redact(F.col("text"), F.col("__secrets"))
-    out = secrets.scan_secrets(docs, out="__secrets").withColumn("text", text)
+    out = secrets.scan_secrets(docs, out="__secrets", parts=True).withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("__secrets") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)

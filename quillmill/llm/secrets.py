@@ -3,7 +3,9 @@
 Fixed patterns find assignments, access keys and long runs of hex digits. Beside them, candidate strings are scanned by
 a sliding window whose Shannon entropy is kept by incremental counts: a step takes one character out of the counts and
 one in, and changes the sum of c * log2(c) by two table look-ups. Each character class has a window and a threshold.
-Allow-listed candidates are suppressed, and so are those inside a span that a pattern has found.
+Allow-listed candidates are suppressed, and so are those inside a span that a pattern has found. With `parts`, as in the
+query and the pipeline, what is harmless clears only itself: the rest of a candidate is scanned, and so is each run of
+hex digits in it by the window of its own class.
 
 Places of matches follow from regexp_extract_all() and split() on the same pattern: the lengths of what lies between the
 matches and of the matches themselves, summed from left to right, in code points.
@@ -29,6 +31,12 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALLOW = (r"^[A-Za-z]+$", r"^[0-9]+$", r"(?i)example|sample|placeholder|x{6,}|0{8,}|1234567|abcdef(?:gh|01)", r"^[a-z0-9]+(?:[-_/][a-z0-9]+)+$", r"^/?[A-Za-z]+(?:/[A-Za-z]+)+$", r"^[=_+/-]+$", r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
 #: Class, its characters, window and the bits a character that a window needs.
 CLASSES = (("hex", "0123456789abcdef", 20, 3.0), ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 20, 3.8))
+#: Parts of a candidate that are no secret, between signs: words with a number behind them, numbers, short names, UUIDs;
+#: and anywhere: marks of examples, rows of one sign. Repetitions are possessive, so none is tried twice.
+_EDGE, _END = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
+HARMLESS = rf"{_EDGE}(?i:[0-9a-f]{{8}}(?:-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}){_END}|{_EDGE}(?:(?:[A-Z]{{0,5}}+[a-z]{{2,}}+)++[A-Z]{{0,5}}+|[A-Z]++)[0-9]{{0,8}}+{_END}|{_EDGE}[0-9]++{_END}|{_EDGE}[a-z0-9]{{1,8}}+{_END}|(?i:example|sample|placeholder|x{{6,}}+|0{{8,}}+|abcdef(?:ghijklmnopqrstuvwxyz|gh|01)|1234567(?:89)?)"
+#: A run of one class inside what is left.
+HEX_RUN = r"[0-9a-f]{20,}|[0-9A-F]{20,}"
 
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 
@@ -79,9 +87,11 @@ def _windows(text: Column, alphabet: str, width: int, bits: float) -> Column:
     return let(codes, lambda c: F.aggregate(F.sequence(F.lit(1), n), start, lambda s, i: step(c, s, i), ends))
 
 
-def scan_secrets(docs: DataFrame, text_col: str = "text", out: str = "secrets") -> DataFrame:
+def scan_secrets(docs: DataFrame, text_col: str = "text", out: str = "secrets", parts: bool = False) -> DataFrame:
     """docs with `out`: array of (start, rank, end) of all spans, by start and then kind (rank in KINDS).
 
+    `parts`: a harmless part of a candidate clears itself alone; otherwise it clears the whole candidate.
+
     Places are code points, ends exclusive. A null or empty text has an empty array; a very long text is scanned whole;
     repeated rows are scanned each; a column named like `out` is replaced. No shuffle.
     """
@@ -109,7 +119,29 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", out: str = "secrets")
         found = F.when(allowed, none_).when(is_hex, _windows(F.lower(s), *CLASSES[0][1:])).otherwise(_windows(s, *CLASSES[1][1:]))
         return let(found, lambda f: F.struct((c["start"] + f["lo"]).alias("start"), F.lit(3).alias("rank"), (c["start"] + f["hi"]).alias("end"), (f["lo"] >= 0).alias("hit")))
 
-    added = F.transform(F.filter(F.transform("__cand", scanned), lambda a: a["hit"]), lambda a: F.struct(a["start"], a["rank"], a["end"]))
+    def dissected(c: Column) -> Column:
+        return let(F.substring(text, c["start"] + 1, c["end"] - c["start"]), lambda s: F.flatten(F.transform(left(s), lambda r: piece(c["start"] + r["start"], F.substring(s, r["start"] + 1, r["end"] - r["start"])))))
+
+    def left(s: Column) -> Column:
+        """What lies between the harmless parts and is long enough for a window."""
+        rank, last = F.lit(3).alias("rank"), F.struct(F.length(s).alias("start"), F.lit(3).alias("rank"), F.length(s).alias("end"))
+        cleared = lambda h: F.transform(F.concat(h, F.array(last)), lambda x, i: F.struct(F.when(i > 0, F.element_at(h, F.greatest(i, F.lit(1)))["end"]).otherwise(F.lit(0)).alias("start"), rank, x["start"].alias("end")))
+        return F.filter(let(_spans(s, HARMLESS, 3, lambda g: F.lit(True)), cleared), lambda r: r["end"] - r["start"] >= 20)
+
+    def piece(at: Column, s: Column) -> Column:
+        """Spans of a piece: of the windows of all signs, and of those of each run of hex digits outside them."""
+        run = lambda r: found(at + r["start"], _windows(F.lower(F.substring(s, r["start"] + 1, r["end"] - r["start"])), *CLASSES[0][1:]))
+        hexes = F.when(s.rlike(HEX_RUN), F.flatten(F.transform(_spans(s, HEX_RUN, 3, lambda g: F.lit(True)), run))).otherwise(none)
+        whole = found(at, _windows(s, *CLASSES[1][1:]))
+        return let(whole, lambda w: F.concat(w, F.filter(hexes, lambda h: ~F.exists(w, lambda x: (x["start"] <= h["start"]) & (h["end"] <= x["end"])))))
+
+    def found(at: Column, window: Column) -> Column:
+        return let(window, lambda f: F.when(f["lo"] >= 0, F.array(F.struct((at + f["lo"]).alias("start"), F.lit(3).alias("rank"), (at + f["hi"]).alias("end")))).otherwise(none))
+
+    if parts:
+        added = F.filter(F.flatten(F.transform("__cand", dissected)), lambda c: ~F.exists("__base", lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"])))
+    else:
+        added = F.transform(F.filter(F.transform("__cand", scanned), lambda a: a["hit"]), lambda a: F.struct(a["start"], a["rank"], a["end"]))
     ready = listed.withColumn("__added", F.when(F.size("__cand") > 0, added).otherwise(none))
     return ready.withColumn(out, F.array_sort(F.concat("__base", "__added"))).drop("__base", "__cand", "__added")
 
@@ -133,7 +165,7 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 
 def op4_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), parts=True).drop("text")
     base = F.filter("secrets", lambda s: s["rank"] < 3)
 
     def count(k: int) -> Column:

@@ -98,3 +98,17 @@ def test_no_python_in_the_plan(spark, sf):
 
 def test_empty_table(spark):
     assert scan_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_harmless_part_clears_only_itself(spark):
+    rng = random.Random(11)
+    some = lambda abc, k: "".join(rng.choice(abc) for _ in range(k))
+    low, b64 = "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    kinds = {"key": lambda: "key-" + some(low, 32), "live": lambda: "sk_live_" + some(low, 24), "path": lambda: "/samples/" + some(b64, 40), "id": lambda: "ID=" + some("0123456789ABCDEF", 32)}
+    rows = [(k, f"see {make()} there") for k, make in kinds.items() for _ in range(100)]
+    fine = ["/usr/local/lib/python3/site-packages/some_module", "a-long-name_with/many-parts/2024/01", "deadbeef-dead-beef-dead-beefdeadbeef", "id=deadbeef-dead-beef-dead-beefdeadbeef", "HTTPServer/MyProject/readMe_example_12345678901234567890", "abcdefghijklmnopqrstuvwxyz", "=" * 30, "x" * 40]
+    rows += [("fine", f"see {x} there") for x in fine]
+    got = scan_secrets(spark.createDataFrame(rows, "kind string, text string"), parts=True).collect()
+    hit = Counter(r.kind for r in got if any(s.rank == 3 and s.end > 30 for s in r.secrets))
+    assert hit["key"] >= 80 and hit["live"] >= 50 and hit["path"] >= 98 and hit["id"] >= 95
+    assert not any(r.secrets for r in got if r.kind == "fine"), [r for r in got if r.kind == "fine" and r.secrets]
