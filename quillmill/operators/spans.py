@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .windows import token_windows
+
 
 def lengths(raw: int, noise: float, mean_span: float) -> tuple[int, int]:
     """(input, target) lengths with sentinels and an end id, for `raw` tokens."""
@@ -52,7 +54,9 @@ def corrupt(tokens: np.ndarray, mask: np.ndarray, vocab: int, eos: int) -> tuple
 
 
 def span_corruption(df: DataFrame, id_col: str, tokens: str, vocab: int, input_length: int = 512, noise: float = 0.15, mean_span: float = 3.0, pad: int = 0, eos: int = 1, seed: int = 42) -> DataFrame:
-    """id, input_ids, attention_mask, labels (-100 on padding), decoder_input_ids; the mask is seeded by the id."""
+    """id, input_ids, attention_mask, labels (-100 on padding), decoder_input_ids; the mask is seeded by the id.
+
+    A row is one example: of more tokens than solve_length() the first go in. corrupted_windows() takes whole documents."""
     raw, target = solve_length(input_length, noise, mean_span)
 
     @F.pandas_udf("struct<input_ids:array<int>,labels:array<int>>")
@@ -68,3 +72,12 @@ def span_corruption(df: DataFrame, id_col: str, tokens: str, vocab: int, input_l
     shifted = F.concat(F.array(F.lit(pad)), F.slice(full("labels", target, pad), 1, target - 1))
     mask = F.transform(full("input_ids", input_length, pad), lambda x: (x != pad).cast("int"))
     return made.select(id_col, full("input_ids", input_length, pad).alias("input_ids"), mask.alias("attention_mask"), full("labels", target, -100).alias("labels"), shifted.alias("decoder_input_ids"))
+
+
+def corrupted_windows(df: DataFrame, id_col: str, tokens: str, vocab: int, input_length: int = 512, noise: float = 0.15, mean_span: float = 3.0, **more) -> DataFrame:
+    """id, window_idx and the columns of span_corruption() for each window of a document; the masks are seeded by both.
+
+    Windows are as long as an example takes and do not overlap, so each token is in one of them."""
+    cut = token_windows(df.select(id_col, tokens), tokens, solve_length(input_length, noise, mean_span)[0], 0.0)
+    cut = cut.select(F.struct(F.col(id_col), F.col("window_idx")).alias("__id"), "window")
+    return span_corruption(cut, "__id", "window", vocab, input_length, noise, mean_span, **more).select("__id.*", *"input_ids attention_mask labels decoder_input_ids".split())

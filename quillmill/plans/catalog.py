@@ -345,7 +345,7 @@ def rank_stride(s, sf):
 @query("span_corruption")
 def span_corruption(s, sf):
     ids = _tokens(s, sf).select("doc_id", F.transform("tokens", lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(30_000)).cast("int") + 2).alias("ids"))
-    return spans.span_corruption(ids, "doc_id", "ids", 32_100)
+    return spans.corrupted_windows(ids, "doc_id", "ids", 32_100)
 
 
 _EV = "WITH e AS (SELECT source AS model, lang AS subject, avg(quality) AS acc, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2) "

@@ -130,6 +130,26 @@ def test_span_corruption(spark):
         assert back == list(range(2, 2 + min(n, 568)))
 
 
+def test_span_corruption_of_whole_documents(spark):
+    sizes = [0, 1, 568, 569, 3000]
+    df = spark.createDataFrame([(i, list(range(2, 2 + n))) for i, n in enumerate(sizes)], "id long, t array<int>")
+    got = spans.corrupted_windows(df, "id", "t", 32_100).collect()
+    for i, n in enumerate(sizes):
+        rows = sorted((r for r in got if r.id == i), key=lambda r: r.window_idx)
+        assert [r.window_idx for r in rows] == list(range(-(-n // 568)))
+        seen = [sorted(x for x in r.input_ids + r.labels if 1 < x < 31_000) for r in rows]
+        assert [x for w in seen for x in w] == list(range(2, 2 + n))
+    shapes = {tuple(k for k, x in enumerate(r.input_ids) if x > 31_000) for r in got if r.id == 4 and r.window_idx < 5}
+    assert len(shapes) == 5  # each window has a mask of its own
+
+
+def test_span_corruption_query_has_every_window(spark, sf):
+    from quillmill.plans.catalog import QUERIES
+
+    whole = QUERIES["window_run_stats"](spark, sf).first()
+    assert QUERIES["span_corruption"](spark, sf).count() == whole.windows > whole.short_docs
+
+
 def test_score_files(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "r.json").write_text(json.dumps({"results": {"t1": {"acc,none": 0.25, "acc_stderr,none": 0.01}, "t2": {"acc,none": 0.5}}}))
