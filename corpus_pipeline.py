@@ -23,13 +23,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group at a similarity of 0.8 or more in sets of five words; other
-    documents are their own group. Rows that repeat an id count as one document, rows without an id stay."""
-    found = materialize(simhash.near_copies(docs).where("doc_id is not null").select("doc_id", "component_id"), "groups")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionAll(kept.where("doc_id is null"))
+    documents are their own group. A document is an id and a text: rows that repeat both count as one, another text
+    under the same id is another document, and a missing id comes after all others."""
+    missing = F.col("doc_id").isNull()
+    key = {"__none": missing, "__id": F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)), "__text": F.xxhash64(F.coalesce("text", F.lit("")))}
+    keyed = docs.withColumns(key)
+    found = materialize(simhash.near_copies(keyed.withColumn("__key", F.struct(*key)), "__key").select("__key", "component_id"), "groups")
+    gone = found.where("__key <> component_id").select("__key.*").distinct()
+    kept = keyed.join(gone, list(key), "left_anti").select(*docs.columns, *key)
+    if found.groupBy("__key").count().where("count > 1").isEmpty():
+        return kept.select(docs.columns)
+    return kept.dropDuplicates(list(key)).select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

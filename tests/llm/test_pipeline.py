@@ -40,3 +40,13 @@ def test_odd_rows_and_empty_tables(spark, tmp_path):
     assert {r.doc_id for r in out} <= {1, 4, 5} and sum(r.length for r in out) > 1000
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{sf}/documents.parquet")
     assert cp.run(spark, sf).count() == 0
+
+
+def test_near_copies_go_by_row(spark):
+    long = " ".join(f"a{i}" for i in range(100))
+    rows = [(1, long), (2, long + " tail"), (2, "another text under the id of a copy"), (3, "one text here"), (3, "and a different one there"), (3, "one text here"), (None, "lone words of no id"), (None, "lone words of no id"), (None, long)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = cp.drop_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(1, long), (2, rows[2][1]), (3, "one text here"), (3, rows[4][1]), (None, "lone words of no id")], key=str)
