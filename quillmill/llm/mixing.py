@@ -5,22 +5,30 @@ share all words by weight, limited by a number of epochs. The rate is integrated
 by time t; a document whose copy begins after c words of its source is due when that integral reaches c, which is the
 root of a quadratic in closed form. Copies are sorted by that time over ranges. Words before a document are prefix sums
 over ranges of a hash, in two passes, so no task sees a whole source.
+
+Texts take no part in that: mix_documents() works on narrow rows with the places of the documents, notes the times of
+each document's copies, and shuffles the texts once, by the partition of the training order that their time lies in.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, table
+from .common import WORD, Notes, discard, fresh, located, materialize, table
 
 WEIGHTS, EPOCHS, SEED = (5.0, 2.0, 1.0), 3, 7
 #: Rates at (time, rate) by weight class: strong sources early, weak ones late.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 0.5), (1.0, 2.0)))
-#: Documents of one range of the hash, on average.
-RANGE_ROWS = 20_000
+#: Documents of one range of the hash, on average and at most; there are some ranges for each task at least, so that the
+#: ranges of a source with a third of all documents are many and small.
+RANGE_ROWS, TASK_RANGES = 20_000, 4
+#: Bytes of a partition of the training order; pieces of training time that such partitions are put together from.
+PART_BYTES, PIECES = 1 << 27, 1 << 18
 
 
 def words(text: Column | str) -> Column:
@@ -88,11 +96,9 @@ def curriculum_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs:
     """
     docs = docs.drop("source_size", "target", "copies", "taken", "positions")
     own = docs.withColumn("__range", F.conv(F.substring("order_key", 1, 13), 16, 10).cast("long"))
-    if "text" not in docs.columns:
-        # narrow rows are written; texts are read again from where they are, which costs less than another copy
-        own = materialize(own, "mix")
+    own = materialize(own, "mix")
     n = own.count()
-    ranges = max(1, -(-n // range_rows))
+    ranges = max(1, -(-n // range_rows), min(n, TASK_RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     own = own.withColumn("__range", F.floor(F.col("__range") * ranges / float(1 << 52)).cast("int"))
     per_range = materialize(own.groupBy("source", "__range").agg(F.sum("size").alias("words")), "ranges")
     sizes = per_range.groupBy("source").agg(F.sum("words").alias("source_size"))
@@ -126,6 +132,43 @@ def training_order(mixed: DataFrame) -> DataFrame:
     return copies.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
+def mix_documents(docs: DataFrame, part_bytes: int = PART_BYTES, **options) -> DataFrame:
+    """docs (doc_id, source, text, ...) in training order: a row for each copy that curriculum_mix() takes, its own columns
+    unchanged whatever their names. Partitions and the rows in them ascend by the time of the copy, then by id and text.
+
+    A null or blank text has no words and so no copy. An empty table gives an empty result.
+    """
+    columns = docs.columns
+    docs, path, row = located(docs)
+    own = docs.select(F.col(path).alias("path"), F.col(row).alias("row"), "doc_id", "source", "text")
+    mixed = curriculum_mix(with_order_key(own).withColumn("bytes", F.octet_length("text") + 64).drop("text"), **options)
+    due = materialize(mixed.where("copies > 0").select("path", "row", "bytes", "positions"), "due")
+    # so many pieces of time that a partition is some of them: their bytes are a table of fixed size
+    at = due.select("bytes", F.explode("positions").alias("t")).groupBy(F.least(F.floor(F.col("t") * PIECES), F.lit(PIECES - 1)).alias("piece")).agg(F.sum("bytes").alias("bytes"))
+    total = at.agg(F.sum("bytes")).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes))
+    before = F.sum("bytes").over(Window.orderBy("piece")) - F.col("bytes")
+    part = at.select("piece", F.least(F.floor(before / (total or 1) * parts), F.lit(parts - 1)).cast("int").alias("part"))
+    first = part.groupBy("part").agg(F.min("piece").alias("piece")).toArrow().sort_by("piece")  # a row for each partition
+    bounds, numbers = first.column("piece").to_numpy(), first.column("part").to_numpy().astype(np.int32)
+
+    def dealt(times: pa.Array) -> pa.Array:
+        t = times.flatten().to_numpy()
+        piece = np.minimum(np.floor(t * PIECES), PIECES - 1)
+        part = numbers[np.searchsorted(bounds, piece, side="right") - 1] if len(t) else np.zeros(0, dtype=np.int32)
+        sizes = np.r_[0, np.cumsum(times.value_lengths().fill_null(0).to_numpy())].astype(np.int32)
+        copies = pa.StructArray.from_arrays([pa.array(part), pa.array(t)], names=["part", "t"])
+        return pa.ListArray.from_arrays(pa.array(sizes), copies)
+
+    notes = Notes(due, "path", "row", "positions", "due")
+    discard(due)
+    copy = fresh(docs, "__copy")
+    texts = docs.withColumn(copy, F.explode(notes.of(path, row, dealt, "array<struct<part:int,t:double>>")))
+    placed = texts.repartitionById(parts, F.col(copy)["part"])
+    order = [F.col(copy)["t"], F.col("doc_id"), F.xxhash64("text")]
+    return placed.sortWithinPartitions(*order).select(columns)
+
+
 def with_order_key(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """docs with size and order_key; a null text is empty, a null id the empty string."""
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -14,17 +14,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import encoded, held_out, map_arrow, table
-from .learn import Adam, labelled_sample, sigmoid
+from .common import encoded, fitted, fresh, held_out, map_arrow, table
+from .learn import Adam, sample_rows, sigmoid, texts_and_labels
 
 WORD_BITS, SHAPE_BITS, BINS, RANK = 14, 10, 8, 6
 N_WORD, N_SHAPE = 1 << WORD_BITS, 1 << SHAPE_BITS
 STATS = ("letters", "digits", "upper", "blank", "signs", "high", "words", "word_size", "distinct", "top", "again", "decorated", "line_words", "same_lines", "ended", "marks", "recorded")
 N = N_WORD + N_SHAPE + len(STATS) * BINS
 THRESHOLD = 0.3
-#: Documents that the machine is fitted on at most: the driver holds their features.
-TRAIN_DOCS = 3000
 REMEMBERED = 400_000
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -193,6 +192,11 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = 10, batch: int = 200) -
     return model
 
 
+def fit_model(sample: DataFrame) -> Machine:
+    """fit() on a labelled sample, in one task."""
+    return fitted(sample, lambda t: fit(*texts_and_labels(t)))
+
+
 def _sparse(opt: Adam, name: str, x: np.ndarray, used: np.ndarray, g: np.ndarray) -> None:
     """A step of the features in use alone."""
     m, v = opt.m.setdefault(name, np.zeros_like(x)), opt.v.setdefault(name, np.zeros_like(x))
@@ -201,8 +205,8 @@ def _sparse(opt: Adam, name: str, x: np.ndarray, used: np.ndarray, g: np.ndarray
     x[used] -= opt.rate * m[used] / (1 - 0.9**opt.t) / (np.sqrt(v[used] / (1 - 0.99**opt.t)) + 1e-8)
 
 
-def score_quality(docs: DataFrame, model: Machine, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, score) for every row, or the columns `keep` and score.
+def score_quality(docs: DataFrame, model: Machine, keep: list[str] | None = None, out: str = "score") -> DataFrame:
+    """(doc_id, score) for every row, or the columns `keep` and the score as `out`.
 
     The recorded length is the integer column n_chars where there is one; where it is null or absent, the text's own.
     A null, empty or blank text is scored by its structure alone. Null ids and repeated rows are scored each.
@@ -211,21 +215,21 @@ def score_quality(docs: DataFrame, model: Machine, keep: list[str] | None = None
     keep = keep or ["doc_id"]
     kinds = dict(docs.dtypes)
     recorded: Column = F.col("n_chars").cast("double") if kinds.get("n_chars") in ("int", "bigint") else F.lit(None).cast("double")
-    text = "text" if "text" in keep else "__text"
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double"])
+    text, length = "text" if "text" in keep else "__text", fresh(docs, "__recorded")
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(out, T.DoubleType())])
 
     def run(batches):
         vocabulary = Vocabulary()
         for b in batches:
-            score = shared.value.score(encoded(b, text), b.column("__recorded").to_pylist(), vocabulary)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(score)], names=[*keep, "score"])
+            score = shared.value.score(encoded(b, text), b.column(length).to_pylist(), vocabulary)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(score)], names=[*keep, out])
 
-    return map_arrow(docs.select(*keep, *[F.col("text").alias("__text")][: text not in keep], recorded.alias("__recorded")), run, schema)
+    return map_arrow(docs.select(*keep, *[F.col("text").alias("__text")][: text not in keep], recorded.alias(length)), run, schema)
 
 
 def op6_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(*labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", TRAIN_DOCS))
+    model = fit_model(sample_rows(docs, table(spark, sf_dir, "labels"), "quality"))
     scored = score_quality(docs, model)
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (scored.score >= THRESHOLD).cast("int").alias("predicted"))
 

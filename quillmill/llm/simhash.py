@@ -7,7 +7,8 @@ Blocks are split again the same way (`depths`), so the codes of one task are bou
 Tasks hand on a spanning forest, never all pairs; components follow by alternating stars.
 
 For near_copies() that join only proposes: plan() sets the bits and tables by the number of rows, and what it connects
-is a cluster in which the sets of shingles themselves decide, block of members by block.
+is a cluster in which the sets of shingles themselves decide, block of members by block. Texts stay where they are but
+for those of clusters: the places of members are noted, and a second scan picks their texts up.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LocalForest, encoded, group_slices, map_arrow, materialize, table, whole_groups
+from .common import LocalForest, Notes, discard, encoded, group_slices, located, map_arrow, materialize, table, whole_groups
 from .components import connected_components
 from .trie import trie_self_join
 
@@ -32,11 +33,15 @@ ROWS = 300_000
 PIECE = 1 << 15
 #: Probability that a pair at the similarity shares a table; bits that may differ there; least bits, and bits beyond
 #: log2 of the rows, which keep chance meetings of a row few.
-RECALL, BUDGET, LEAST_BITS, SPARE_BITS = 0.995, 3, 24, 6
+RECALL, BUDGET, LEAST_BITS, SPARE_BITS = 0.99, 4, 24, 8
+#: log2 of the codes of a bucket on average, at most.
+LOG_BUCKET = 24
 #: Words of a fingerprint at least, those that travel with a code, and standard deviations that a proposal may be off.
-WORDS, CARRIED, WIDE = 8, 3, 4.0
-#: Members of a cluster that one side of a task compares, and rows that a task holds at once, at least.
-BLOCK, HELD = 2048, 1000
+WORDS, CARRIED, WIDE = 3, 2, 4.0
+#: How much oftener than by the angle a bit differs, at most: the projections of small sets aren't quite normal.
+COARSE = 1.06
+#: Members and bytes of texts of a cluster that one side of a task compares, and rows that a task holds at once, at least.
+BLOCK, BLOCK_BYTES, HELD = 2048, 1 << 25, 200
 
 
 def shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
@@ -83,17 +88,27 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def wide_fingerprint(text: bytes, words: int, tables: int) -> np.ndarray:
-    """`tables` independent 64-bit fingerprints of the set of shingles."""
+_LANES = np.uint64(0x00FF00FF00FF00FF)
+
+
+def wide_fingerprint(text: bytes, words: int, n_words: int) -> np.ndarray:
+    """`n_words` words of 64 bits, each bit by a hyperplane of its own: a shingle's part in it is a byte of its hash, and
+    the bit is set if the sum over the set of shingles is above its mean. Bytes in place of signs make the bits of small
+    sets differ as the angle has it."""
     parts = list(shingle_hashes(text, words))
     if not parts:
-        return np.zeros(tables, dtype=np.uint64)
+        return np.zeros(n_words, dtype=np.uint64)
     h = np.unique(np.concatenate(parts))
-    ones = np.zeros(64 * tables, dtype=np.int64)
+    total = np.zeros(64 * n_words, dtype=np.int64)
     for at in range(0, len(h), PIECE // 4):
         piece = h[at : at + PIECE // 4]
-        ones += _bits(np.column_stack([_mixed(piece, k) for k in range(tables)]))
-    return _majority(ones, len(h))
+        mixed = np.column_stack([_mixed(piece, k) for k in range(8 * n_words)])
+        # sums of bytes in 16-bit lanes, which hold 257 of them
+        starts = np.arange(0, len(piece), 256)
+        for shift in (0, 8):
+            lanes = np.add.reduceat((mixed >> np.uint64(shift)) & _LANES, starts, axis=0)
+            total[shift // 8 :: 2] += lanes.view(np.uint16).reshape(len(starts), -1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > 255 * len(h)).view(">u8").astype(np.uint64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -108,16 +123,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_arrow(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, fp bigint")
 
 
-def wide_fingerprints(rows: DataFrame, words: int, tables: int) -> DataFrame:
-    """Rows (id, text, hash) to (id, hash, fp: binary)."""
+def wide_fingerprints(rows: DataFrame, words: int, n_words: int) -> DataFrame:
+    """Rows (path, row, id, hash, text) to (path, row, id, hash, bytes, fp: binary)."""
 
     def run(batches):
         for b in batches:
-            fp = [wide_fingerprint(t, words, tables).astype(">u8").tobytes() for t in encoded(b)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("hash"), pa.array(fp, type=pa.binary())], names=["id", "hash", "fp"])
+            texts = encoded(b)
+            fp = [wide_fingerprint(t, words, n_words).astype(">u8").tobytes() for t in texts]
+            cols = [*(b.column(c) for c in ("path", "row", "id", "hash")), pa.array(list(map(len, texts)), type=pa.int64()), pa.array(fp, type=pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["path", "row", "id", "hash", "bytes", "fp"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return map_arrow(rows.select("id", "text", "hash"), run, f"id {kind}, hash bigint, fp binary")
+    return map_arrow(rows.select("path", "row", "id", "text", "hash"), run, f"path bigint, row bigint, id {kind}, hash bigint, bytes bigint, fp binary")
 
 
 def views(bits: int, budget: int, depths: int) -> list[tuple[np.ndarray, int]]:
@@ -156,10 +173,11 @@ def _slice(fp: np.ndarray, at: int, bits: int) -> np.ndarray:
 
 
 def _forest(table_: pa.Table, seen: list[tuple[np.ndarray, int]], bits: int, budget: int, limit: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Spanning links (node, smallest node) of the rows (view, code, node[, fp])."""
-    view, node = table_.column("view").to_numpy(), table_.column("node").to_numpy()
+    """Spanning links (node, smallest node) of the rows (bucket, code, node[, w0, w1, ..])."""
+    bucket, node = table_.column("bucket").to_numpy(), table_.column("node").to_numpy()
+    view = bucket >> VIEW_SHIFT
     codes = table_.column("code").to_numpy().view(np.uint64)
-    wide = _words(table_.column("fp").to_pylist()) if limit is not None else None
+    wide = np.column_stack([table_.column(f"w{k}").to_numpy().view(np.uint64) for k in range(CARRIED)]) if limit is not None else None
     cuts = group_slices([view])
     for lo, hi in itertools.pairwise(cuts.tolist()):
         order = lo + np.argsort(codes[lo:hi], kind="stable")
@@ -178,6 +196,10 @@ def _forest(table_: pa.Table, seen: list[tuple[np.ndarray, int]], bits: int, bud
         yield own[linked], own[root[linked]]
 
 
+#: A bucket is the number of a view above so many bits of a block.
+VIEW_SHIFT = 48
+
+
 def trie_links(codes: DataFrame, bits: int, budget: int, tables: int = 1, depths: int = 1, limit: int | None = None) -> DataFrame:
     """Rows (node: long, fp: binary of 8-byte words) to links (a, b) that connect all rows of which some table, the next
     `bits` bits of fp, differs in `budget` bits at most and, where `limit` is given, whose first CARRIED words differ in
@@ -189,32 +211,24 @@ def trie_links(codes: DataFrame, bits: int, budget: int, tables: int = 1, depths
             if not b.num_rows:
                 continue
             fp = _words(b.column("fp").to_pylist())
-            if limit is not None:
-                carried = pa.array([x.tobytes() for x in fp[:, :CARRIED].astype(">u8")], type=pa.binary())
+            carried = [pa.array(np.ascontiguousarray(fp[:, k]).view(np.int64)) for k in range(CARRIED)] if limit is not None else []
             for t in range(tables):
                 own = _slice(fp, t * bits, bits)
                 for v, (order, exact) in enumerate(seen):
                     code = _reorder(own, order)
-                    cols = [
-                        pa.array(np.full(b.num_rows, t * len(seen) + v, dtype=np.int32)),
-                        pa.array((code >> np.uint64(64 - exact)).view(np.int64)),
-                        pa.array(code.view(np.int64)),
-                        b.column("node"),
-                    ]
-                    names = ["view", "block", "code", "node"]
-                    if limit is not None:
-                        cols.append(carried)
-                        names.append("fp")
-                    yield pa.RecordBatch.from_arrays(cols, names=names)
+                    bucket = (code >> np.uint64(64 - exact)).view(np.int64) | ((t * len(seen) + v) << VIEW_SHIFT)
+                    cols = [pa.array(bucket), pa.array(code.view(np.int64)), b.column("node"), *carried]
+                    yield pa.RecordBatch.from_arrays(cols, names=["bucket", "code", "node", *(f"w{k}" for k in range(len(carried)))])
 
     def join(batches):
-        for t in whole_groups(batches, ["view", "block"], ROWS):
+        for t in whole_groups(batches, ["bucket"], ROWS):
             for a, b in _forest(t, seen, bits, budget, limit):
                 for at in range(0, len(a), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 100_000]), pa.array(b[at : at + 100_000])], names=["a", "b"])
 
-    rows = codes.mapInArrow(spread, "view int, block bigint, code bigint, node bigint" + ", fp binary" * (limit is not None))
-    return rows.repartition("view", "block").sortWithinPartitions("view", "block").mapInArrow(join, "a bigint, b bigint")
+    schema = "bucket bigint, code bigint, node bigint" + "".join(f", w{k} bigint" for k in range(CARRIED)) * (limit is not None)
+    rows = codes.mapInArrow(spread, schema)
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(join, "a bigint, b bigint")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = 2) -> DataFrame:
@@ -235,22 +249,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def differing(similarity: float) -> float:
-    """The probability, at most, that a bit of the fingerprints of two sets at this similarity (Jaccard) differs.
-
-    Large sets meet at the cosine 2j / (1 + j) at least, which gives arccos / pi; of small sets, whose bits are no
-    majority of many, all splits are counted.
-    """
-    worst = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    half = lambda n: [math.comb(n, k) / 2**n for k in range(n + 1)]
-    for common in range(1, 41):
-        apart = int(common * (1 - similarity) / similarity + 1e-9)
-        for a in range(apart // 2 + 1):
-            b, total = apart - a, 0.0
-            for k, w in enumerate(half(common)):
-                x, y = (sum(p for i, p in enumerate(half(n)) if 2 * (k + i) > common + n) for n in (a, b))
-                total += w * (x * (1 - y) + y * (1 - x))
-            worst = max(worst, total)
-    return worst
+    """The probability, at most, that a bit of the fingerprints of two sets at this similarity (Jaccard) differs: they
+    meet at the cosine 2j / (1 + j) at least, which gives arccos / pi."""
+    return COARSE * math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
 
 
 def shared(similarity: float, bits: int, tables: int, budget: int = BUDGET) -> float:
@@ -261,9 +262,11 @@ def shared(similarity: float, bits: int, tables: int, budget: int = BUDGET) -> f
 
 
 def plan(rows: int, similarity: float = 0.8, recall: float = RECALL, budget: int = BUDGET) -> tuple[int, int]:
-    """(bits, tables): more bits for more rows, so that chance meetings of a row stay few, and enough tables that a
-    pair at the similarity shares one with the probability `recall` whatever the number of rows."""
-    bits = min(60, max(LEAST_BITS, math.ceil(math.log2(max(2, rows))) + SPARE_BITS))
+    """(bits, tables): more bits for more rows, so that chance meetings of a row stay few and a block of the bits deals
+    out so many buckets that one fits in a task, and enough tables that a pair at the similarity shares one with the
+    probability `recall` whatever the number of rows."""
+    log = math.log2(max(2, rows))
+    bits = min(60, max(LEAST_BITS, math.ceil(log) + SPARE_BITS, math.ceil((budget + 1) * (log - LOG_BUCKET))))
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - shared(similarity, bits, 1, budget))))
 
 
@@ -319,31 +322,54 @@ def set_links(members: DataFrame, words: int, similarity: float) -> DataFrame:
     return map_arrow(dealt.repartition(*keys).sortWithinPartitions(*keys), decide, "a bigint, b bigint")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id_col, fp, component_id) at a similarity of the sets of shingles of `similarity` (Jaccard) or more.
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame, str, str]:
+    """A row for each row of docs: (path, row, id, fp, first, kept), with docs and its columns of places (see located()).
 
-    The trie join on the tables of plan() proposes: it connects documents into clusters by a limit that a pair at the
-    similarity passes next to surely. Inside a cluster the sets themselves decide, so no link lies below the
-    similarity. Documents of equal fingerprints are one. Nulls and empties as in simhash_components().
+    Rows are in one group if a chain of sets of shingles at a Jaccard of `similarity` or more joins them. `first` is the
+    first row of its group, by id (nulls last), text and place, and kept is true for that row alone. A row is a
+    document, whatever its id. Null, empty and blank texts are alike.
     """
+    docs, path, row = located(docs)
     bits, tables = plan(docs.count(), similarity)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    read = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    read = docs.select(F.col(path).alias("path"), F.col(row).alias("row"), F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
     fps = materialize(wide_fingerprints(read, words, max(WORDS, math.ceil(bits * tables / 64))), "wide")
-    # the text of a fingerprint is that of one of its rows
-    least = fps.groupBy("fp").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull(), "id", "hash")).alias("r"))
-    least = materialize(least.select("fp", "least", "r.id", "r.hash", F.xxhash64("fp").alias("node")), "distinct")
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "hash", "path", "row")
+    # the text of a fingerprint is that of its first row
+    least = fps.groupBy("fp").agg(F.min(own).alias("first"), F.max("bytes").alias("bytes"))
+    least = materialize(least.withColumn("node", F.monotonically_increasing_id()), "distinct")
     near = connected_components(trie_links(least.select("node", "fp"), bits, BUDGET, tables, 1, proposed(similarity, CARRIED)))
-    clusters = materialize(least.join(near, "node").select("root", "node", "fp", F.col("id").alias("i"), F.col("hash").alias("h")), "clusters")
-    large = clusters.groupBy("root").count().where(F.col("count") > BLOCK).select("root", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    clusters = materialize(least.join(near, "node").select("root", "node", "fp", "first", "bytes"), "clusters")
+    heavy = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    large = clusters.groupBy("root").agg(heavy.alias("blocks")).where("blocks > 1")
     members = clusters.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    members = members.withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int"))
-    members = read.join(members, (F.col("hash") == F.col("h")) & F.col("id").eqNullSafe(F.col("i")))
+    member = F.struct("root", "blocks", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int").alias("own"), "node", "fp")
+    notes = Notes(members.select("first.path", "first.row", member.alias("member")), "path", "row", "member", "members")
+    members = read.select("text", notes.of("path", "row").alias("member")).where("member is not null").select("member.*", "text")
     roots = connected_components(set_links(members, words, similarity))
-    rooted = materialize(least.join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root")), "rooted")
-    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(rooted.join(lowest, "root").select("fp", "component_id"), "named")
-    return fps.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    rooted = materialize(least.join(roots, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root")), "rooted")
+    lowest = rooted.groupBy("root").agg(F.min("first").alias("lowest"))
+    named = materialize(rooted.join(lowest, "root").select("fp", "lowest"), "named")
+    for t in (least, clusters, rooted):
+        discard(t)
+    found = fps.join(named, "fp").select("path", "row", "id", "fp", F.col("lowest").alias("first"))
+    same = (F.col("path") == F.col("first.path")) & (F.col("row") == F.col("first.row"))
+    return found.withColumn("kept", same), docs, path, row
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id_col, fp, component_id) of near_groups(): component_id is the smallest id of the group, null if all are null."""
+    found = near_groups(docs.select(id_col, text_col), id_col, text_col, words, similarity)[0]
+    return found.select(F.col("id").alias(id_col), "fp", F.col("first.id").alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with the first row of each group of near_groups() alone; columns and their order stay, and no text is
+    shuffled but those that near_groups() compares."""
+    columns = docs.columns
+    found, docs, path, row = near_groups(docs, id_col, text_col, words, similarity)
+    gone = Notes(found.where("not kept").select("path", "row", F.lit(True).alias("gone")), "path", "row", "gone", "gone")
+    return docs.where(gone.of(path, row).isNull()).select(*[docs[c] for c in columns])
 
 
 def op1_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, scratch_path, table
+from .common import filesystem, map_arrow, materialize, scratch_path, table
 from .tokens import encoder
 
 #: Ids of a sequence, sequences of a batch, and ids of a file after which the next one starts.
@@ -27,17 +27,6 @@ SEQUENCE, PER_BATCH, FILE_IDS = 2048, 512, 1 << 25
 MANIFEST = "part int, file int, path string, n_docs bigint, n_tokens bigint"
 
 
-def filesystem(uri: str):
-    """The store of a URI, and the path in it."""
-    from pyarrow import fs
-
-    if uri.startswith("file:"):
-        uri = "file:///" + uri[5:].lstrip("/")
-    elif "://" not in uri:
-        return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri)
-
-
 class _File:
     """One file of sequences with its index, written under a name of its own and then renamed: a task that is run
     again, or twice at once, leaves whole files only."""

@@ -1,7 +1,8 @@
 """Token ids by a public tokenizer, chunk by chunk.
 
 The tokenizer named by default drops white space and never joins across it, so the ids of a text are the ids of its
-chunks between ASCII spaces one after the other. Each Python worker keeps the ids of the chunks that it has met, as
+chunks between ASCII spaces one after the other. A tokenizer that doesn't do so on some probing texts encodes whole
+texts by the library alone. With the others, each Python worker keeps the ids of the chunks that it has met, as
 bytes. A new chunk of Latin letters, with a comma or full stop behind it or none, is one or two units to the
 tokenizer's rules and goes straight to the library's model; any other goes through its whole chain.
 """
@@ -24,6 +25,8 @@ LONGEST = 64
 SLICE = 2_000_000
 #: Texts in which lower case is the same character by character and composition changes nothing.
 _ODD = re.compile("[\u0130\u0250-\U0010ffff]")
+#: Texts by which a tokenizer shows whether it drops white space: words, signs, digits and space of all sorts between.
+_SPACES = ("a b", " a  b ", "The cat's hat, (3.5 kg)\nnext line\tof it\r\n\r\n end.", "it 's we 'll", "don' t 1 2 ,. x", "été à\u00a0la \u3000 ñu", "\n", " ", "von von von A B")
 
 
 def _byte_letters() -> list[str]:
@@ -82,7 +85,12 @@ class ChunkEncoder:
         self.code, self.model = "H" if self.dtype.itemsize == 2 else "I", self.tok.model
         self.sign = {c: self._bytes([t.id for t in self.model.tokenize(c)]) for c in ".,"}
         self.known = _Known(self)
-        self.plain = self._plain()
+        self.split = all(self._bytes(self.tok.encode(t, add_special_tokens=False).ids) == b"".join(self._bytes(self.tok.encode(c, add_special_tokens=False).ids) for c in self._chunks(t)) for t in _SPACES)
+        self.plain = self.split and self._plain()
+
+    @staticmethod
+    def _chunks(text: str) -> list[str]:
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
     def _plain(self) -> bool:
         """Whether letters may go straight to the model: lower case, byte-level letters and the rules named above."""
@@ -117,12 +125,14 @@ class ChunkEncoder:
             known.clear()
         if self.plain:
             texts = [t if _ODD.search(t) else t.lower() for t in texts]
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-        return out
+        return [b"".join(map(known.__getitem__, self._chunks(t))) for t in texts]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of one text after the other; a null is an empty text."""
+        if not self.split:
+            for text in texts:
+                yield self._bytes(self.tok.encode(text or "", add_special_tokens=False).ids)
+            return
         held: list[str] = []
         size = 0
         for text in texts:

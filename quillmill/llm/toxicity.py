@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import encoded, held_out, map_arrow, table
-from .learn import Adam, labelled_sample, sigmoid
+from .common import encoded, fitted, held_out, map_arrow, table
+from .learn import Adam, sample_rows, sigmoid, texts_and_labels
 
 WORD_BITS, SIDE_BITS = 14, 12
 BLOCK = 128
@@ -223,6 +223,9 @@ def evidence(texts: list[bytes], y: np.ndarray) -> set[bytes]:
 def fit(texts: list[bytes], y: np.ndarray, rounds: int = 40, docs: int = 1600) -> Tagger:
     """Maximum likelihood by Adam on whole chains; then the documents' logistic by Newton's method.
 
+    Evidence and the logistic use all texts given; the chains are fitted on the first `docs` / 2 texts of each label,
+    which for a labelled sample are drawn by the hash of the id.
+
     Without documents of both labels the model knows nothing and every score is next to 0.
     """
     model = Tagger()
@@ -279,6 +282,11 @@ def fit(texts: list[bytes], y: np.ndarray, rounds: int = 40, docs: int = 1600) -
     return model
 
 
+def fit_model(sample: DataFrame) -> Tagger:
+    """fit() on a labelled sample, in one task."""
+    return fitted(sample, lambda t: fit(*texts_and_labels(t)))
+
+
 def spans(text: str, p: np.ndarray, least: float = 0.5) -> list[tuple[int, int, float]]:
     """Runs of words with marginals of `least` or more: (start, end, highest marginal) in code points."""
     import re
@@ -319,7 +327,7 @@ def score_toxicity(docs: DataFrame, model: Tagger) -> DataFrame:
 
 def op2_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(*labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic"))
+    model = fit_model(sample_rows(docs, table(spark, sf_dir, "labels"), "toxic"))
     scored = score_toxicity(docs, model)
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (scored.score >= 0.5).cast("int").alias("predicted"), "spans")
 
