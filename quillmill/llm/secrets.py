@@ -26,9 +26,9 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS, HEX = r"AKIA[A-Z0-9]{12,}", r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "entropy")
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: What is no secret: words, examples, names with separators, paths, UUIDs and rows of one sign. Each pattern is free of
-#: nested choices, so it takes time in proportion to the candidate.
-ALLOW = (r"^[A-Za-z]+$", r"^[0-9]+$", r"(?i)example|sample|placeholder|x{6,}|0{8,}|1234567|abcdef(?:gh|01)", r"^[a-z0-9]+(?:[-_/][a-z0-9]+)+$", r"^/?[A-Za-z]+(?:/[A-Za-z]+)+$", r"^[=_+/-]+$", r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+#: What is no secret: words, examples, names with separators, paths, UUIDs and rows of one sign. Repeated groups are
+#: possessive: they take time in proportion to the candidate, and Java runs them as a loop, not on its stack.
+ALLOW = (r"^[A-Za-z]+$", r"^[0-9]+$", r"(?i)example|sample|placeholder|x{6,}|0{8,}|1234567|abcdef(?:gh|01)", r"^[a-z0-9]++(?:[-_/][a-z0-9]++)++$", r"^/?[A-Za-z]++(?:/[A-Za-z]++)++$", r"^[=_+/-]+$", r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
 #: Class, its characters, window and the bits a character that a window needs.
 CLASSES = (("hex", "0123456789abcdef", 20, 3.0), ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 20, 3.8))
 #: Parts of a candidate that are no secret, between signs: words with a number behind them, numbers, short names, UUIDs;
@@ -39,6 +39,8 @@ HARMLESS = rf"{_EDGE}(?i:[0-9a-f]{{8}}(?:-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}){_E
 HEX_RUN = r"[0-9a-f]{20,}|[0-9A-F]{20,}"
 
 SPAN = "array<struct<start:int,rank:int,end:int>>"
+#: Matches of a block.
+FOLD = 256
 
 
 def _spans(text: Column, pattern: str, rank: int, keep, groups: int | None = None) -> Column:
@@ -57,7 +59,15 @@ def _spans(text: Column, pattern: str, rank: int, keep, groups: int | None = Non
         spans = F.when(r["m"].isNotNull() & keep(r["g"]), F.concat(s["spans"], F.array(span))).otherwise(s["spans"])
         return F.struct(F.coalesce(end, at).alias("at"), spans.alias("spans"))
 
-    return F.aggregate(rows, start, step, lambda s: s["spans"])
+    def moved(s: Column, block: Column) -> Column:
+        own = F.transform(block["spans"], lambda x: F.struct((x["start"] + s["at"]).alias("start"), x["rank"].alias("rank"), (x["end"] + s["at"]).alias("end")))
+        return F.struct((s["at"] + block["at"]).alias("at"), F.concat(s["spans"], F.array(own)).alias("spans"))
+
+    # an array that grows by one is copied: matches are folded block by block, then the blocks, so a text with very many
+    # matches doesn't copy them all for each
+    blocks = let(rows, lambda rs: F.transform(F.sequence(F.lit(0), F.floor((F.size(rs) - 1) / FOLD).cast("int")), lambda k: F.aggregate(F.slice(rs, k * FOLD + 1, FOLD), start, step)))
+    joined = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    return F.aggregate(blocks, joined, moved, lambda s: F.flatten(s["spans"]))
 
 
 def _windows(text: Column, alphabet: str, width: int, bits: float) -> Column:

@@ -112,3 +112,30 @@ def test_a_harmless_part_clears_only_itself(spark):
     hit = Counter(r.kind for r in got if any(s.rank == 3 and s.end > 30 for s in r.secrets))
     assert hit["key"] >= 80 and hit["live"] >= 50 and hit["path"] >= 98 and hit["id"] >= 95
     assert not any(r.secrets for r in got if r.kind == "fine"), [r for r in got if r.kind == "fine" and r.secrets]
+
+
+LONG = {
+    "path": "a1/" * 350_000 + "zz",
+    "words": "/ab" * 350_000,
+    "hyphens": "ab-" * 350_000 + "b",
+    "camel": "Ab" * 500_000,
+    "rows": "x" * 1_000_000,
+    "hex": "0123456789abcdef" * 60_000,
+    "access": "AKIA" * 250_000,
+    "assign": "token=" * 170_000,
+    "gaps": "token" + " " * 1_000_000 + "= abcdefgh1",
+    "uuid": "deadbeef-dead-beef-dead-beefdeadbeef" * 25_000,
+    "signs": "=_+/-" * 200_000,
+    "many": "token=abcdefgh1 " * 20_000,
+}
+
+
+def test_a_megabyte_of_each_pattern(spark):
+    """No text ends the JVM by its stack, and each is scanned whole."""
+    small = {k: t[: len(t) // 50] if k not in ("path", "words", "hyphens", "camel", "gaps", "many") else t for k, t in LONG.items()}
+    df = spark.createDataFrame([(k, t + " password=hunter2hunter2") for k, t in small.items()], "kind string, text string").repartition(12)
+    for parts in (False, True):
+        got = {r.kind: r.secrets for r in scan_secrets(df, parts=parts).select("kind", "secrets").collect()}
+        assert set(got) == set(small)
+        assert all(any(s.rank == 0 and s.end == len(small[k]) + 24 for s in spans) for k, spans in got.items())
+    assert len(got["many"]) == 20_001
