@@ -27,8 +27,8 @@ SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0
 #: Documents of one range of the hash, on average and at most; there are some ranges for each task at least, so that the
 #: ranges of a source with a third of all documents are many and small.
 RANGE_ROWS, TASK_RANGES = 20_000, 4
-#: Bytes of a partition of the training order; pieces of training time that such partitions are put together from.
-PART_BYTES, PIECES = 1 << 27, 1 << 18
+#: Bytes of a partition of the training order; pieces of training time, for each partition, that it is put together from.
+PART_BYTES, PIECES = 1 << 27, 16
 
 
 def words(text: Column | str) -> Column:
@@ -143,10 +143,10 @@ def mix_documents(docs: DataFrame, part_bytes: int = PART_BYTES, **options) -> D
     own = docs.select(F.col(path).alias("path"), F.col(row).alias("row"), "doc_id", "source", "text")
     mixed = curriculum_mix(with_order_key(own).withColumn("bytes", F.octet_length("text") + 64).drop("text"), **options)
     due = materialize(mixed.where("copies > 0").select("path", "row", "bytes", "positions"), "due")
-    # so many pieces of time that a partition is some of them: their bytes are a table of fixed size
-    at = due.select("bytes", F.explode("positions").alias("t")).groupBy(F.least(F.floor(F.col("t") * PIECES), F.lit(PIECES - 1)).alias("piece")).agg(F.sum("bytes").alias("bytes"))
-    total = at.agg(F.sum("bytes")).first()[0] or 0
+    total = due.agg(F.sum(F.col("bytes") * F.size("positions"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes))
+    pieces = PIECES * parts
+    at = due.select("bytes", F.explode("positions").alias("t")).groupBy(F.least(F.floor(F.col("t") * pieces), F.lit(pieces - 1)).alias("piece")).agg(F.sum("bytes").alias("bytes"))
     before = F.sum("bytes").over(Window.orderBy("piece")) - F.col("bytes")
     part = at.select("piece", F.least(F.floor(before / (total or 1) * parts), F.lit(parts - 1)).cast("int").alias("part"))
     first = part.groupBy("part").agg(F.min("piece").alias("piece")).toArrow().sort_by("piece")  # a row for each partition
@@ -154,7 +154,7 @@ def mix_documents(docs: DataFrame, part_bytes: int = PART_BYTES, **options) -> D
 
     def dealt(times: pa.Array) -> pa.Array:
         t = times.flatten().to_numpy()
-        piece = np.minimum(np.floor(t * PIECES), PIECES - 1)
+        piece = np.minimum(np.floor(t * pieces), pieces - 1)
         part = numbers[np.searchsorted(bounds, piece, side="right") - 1] if len(t) else np.zeros(0, dtype=np.int32)
         sizes = np.r_[0, np.cumsum(times.value_lengths().fill_null(0).to_numpy())].astype(np.int32)
         copies = pa.StructArray.from_arrays([pa.array(part), pa.array(t)], names=["part", "t"])

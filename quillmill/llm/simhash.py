@@ -29,11 +29,13 @@ from .trie import trie_self_join
 
 #: Codes that a task joins at once, at least.
 ROWS = 300_000
+#: Word types that a worker remembers at most.
+REMEMBERED = 400_000
 #: Shingles hashed at once, which bounds what a very long text needs.
 PIECE = 1 << 15
 #: Probability that a pair at the similarity shares a table; bits that may differ there; least bits, and bits beyond
 #: log2 of the rows, which keep chance meetings of a row few.
-RECALL, BUDGET, LEAST_BITS, SPARE_BITS = 0.99, 4, 24, 8
+RECALL, BUDGET, LEAST_BITS, SPARE_BITS = 0.99, 3, 24, 6
 #: log2 of the codes of a bucket on average, at most.
 LOG_BUCKET = 24
 #: Words of a fingerprint at least, those that travel with a code, and standard deviations that a proposal may be off.
@@ -79,30 +81,63 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     return int(_majority(ones, n)[0]) if n else 0
 
 
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """The k-th further 64-bit hash of each hash."""
-    with np.errstate(over="ignore"):
-        x = h + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & (2**64 - 1))
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+def _mixed(h: np.ndarray, k: int | np.ndarray) -> np.ndarray:
+    """The k-th further 64-bit hash of each hash; several k: a column for each."""
+    steps = np.array([(0x9E3779B97F4A7C15 * (int(x) + 1)) & (2**64 - 1) for x in np.atleast_1d(k)], dtype=np.uint64)
+    x = h[:, None] + steps if isinstance(k, np.ndarray) else h + steps[0]
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+class _Words(dict):
+    """Hashes of the words met so far; long ones are hashed each time."""
 
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word, 42)
+        if len(word) <= 64:
+            if len(self) > REMEMBERED:
+                self.clear()
+            self[word] = h
+        return h
 
+
+_words_met = _Words()
+#: A factor for each place of a word in a shingle.
+_PLACES = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1) | 1) for k in range(64)]
 _LANES = np.uint64(0x00FF00FF00FF00FF)
 
 
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The sorted set of the shingles of a lower-cased text, as 64-bit hashes of the hashes of their words; fewer words:
+    the whole sequence; none: nothing."""
+    w = text.lower().split()
+    if not w:
+        return np.zeros(0, dtype=np.uint64)
+    own = np.fromiter(map(_words_met.__getitem__, w), dtype=np.uint64, count=len(w))
+    size = min(words, len(w))
+    n = len(w) - size + 1
+    with np.errstate(over="ignore"):
+        h = own[:n] * _PLACES[0] + np.uint64(size)
+        for k in range(1, size):
+            h += own[k : n + k] * _PLACES[k]
+    return np.unique(_mixed(h, 0))
+
+
 def wide_fingerprint(text: bytes, words: int, n_words: int) -> np.ndarray:
     """`n_words` words of 64 bits, each bit by a hyperplane of its own: a shingle's part in it is a byte of its hash, and
     the bit is set if the sum over the set of shingles is above its mean. Bytes in place of signs make the bits of small
     sets differ as the angle has it."""
-    parts = list(shingle_hashes(text, words))
-    if not parts:
+    h = shingle_set(text, words)
+    if not len(h):
         return np.zeros(n_words, dtype=np.uint64)
-    h = np.unique(np.concatenate(parts))
     total = np.zeros(64 * n_words, dtype=np.int64)
     for at in range(0, len(h), PIECE // 4):
         piece = h[at : at + PIECE // 4]
-        mixed = np.column_stack([_mixed(piece, k) for k in range(8 * n_words)])
+        mixed = _mixed(piece, np.arange(1, 8 * n_words + 1))
         # sums of bytes in 16-bit lanes, which hold 257 of them
         starts = np.arange(0, len(piece), 256)
         for shift in (0, 8):
@@ -284,10 +319,7 @@ def _decided(t: pa.Table, words: int, similarity: float) -> Iterator[tuple[np.nd
     limit = proposed(similarity, fp.shape[1])
     for lo, hi in itertools.pairwise(group_slices([root, p, q]).tolist()):
         at = lo + np.unique(node[lo:hi], return_index=True)[1]  # a repeated row comes twice
-        sets = []
-        for k in at.tolist():
-            parts = list(shingle_hashes(texts[k].as_py(), words))
-            sets.append(np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64))
+        sets = [shingle_set(texts[k].as_py(), words) for k in at.tolist()]
         size, left = np.array([len(x) for x in sets]), own[at] == p[lo]
         crossing, wide, forest = p[lo] != q[lo], fp[at], LocalForest(len(at))
         for i in range(len(at)):
