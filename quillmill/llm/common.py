@@ -122,16 +122,17 @@ def filesystem(uri: str):
 _IN_PLACE = {"Project", "Filter", "SubqueryAlias"}
 
 
-def located(df: DataFrame) -> tuple[DataFrame, str, str]:
+def located(df: DataFrame, whole: bool = False) -> tuple[DataFrame, str, str]:
     """df with the place of each row, and the names of its two columns: a hash of the file's path, and the row's number
-    there. A frame that is more than columns and filters over one scan of Parquet files is written first."""
+    there. A frame that is more than columns and filters over one scan of Parquet files is written first; with `whole`,
+    one with a filter too, so that the numbers of a file have no gaps."""
 
     def placed(df: DataFrame) -> tuple[DataFrame, str, str]:
         meta, path, row = df.metadataColumn("_metadata"), fresh(df, "__path"), fresh(df, "__row")
         return df.withColumns({path: F.xxhash64(meta["file_path"]), row: meta["row_index"].cast("long")}), path, row
 
     plan = df._jdf.queryExecution().analyzed()
-    while plan.nodeName() in _IN_PLACE:
+    while plan.nodeName() in _IN_PLACE and not (whole and plan.nodeName() == "Filter"):
         plan = plan.children().head()
     if plan.children().isEmpty():
         try:
