@@ -1,10 +1,12 @@
 """Nearest neighbours by inner product over sharded, robust-pruned directed graphs.
 
-Vectors are dealt to shards of a bounded size by a hash; the number of shards grows with the input. Each shard's graph
-is built in batches: greedy searches from the middle propose neighbours for the vectors of a batch, relaxed distance
-pruning keeps edges in diverse directions (a candidate goes if a kept one is nearer to it by the factor alpha), and
-reverse edges are pruned likewise. A beam search then runs each block of queries on each shard. Largest inner products
-become nearest points through one more coordinate, the square root of what a vector's squared length lacks to the
+Vectors are dealt to shards by a hash: few and large ones, but some for each core. Each shard's graph is built in batches:
+greedy searches from the middle propose neighbours for the vectors of a batch, relaxed distance pruning keeps edges in
+diverse directions (a candidate goes if a kept one is nearer to it by the factor alpha), and reverse edges are pruned
+likewise. Points that no edge reaches get one from the nearest point that is reached. A beam search then runs each block
+of queries on each shard. The beam is set for each shard by measurement: it is widened until the search finds enough of
+what a full scan finds for some of the queries, and where no beam is worth it, the shard is scanned. Largest inner
+products become nearest points through one more coordinate, the square root of what a vector's squared length lacks to the
 largest. Exact copies are one point with its smallest ids. The beam proposes; scores are computed in double precision.
 """
 
@@ -18,8 +20,11 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 from .vectors import matrix, usable
 
-DEGREE, BUILD_BEAM, BEAM, ALPHA = 48, 96, 128, 1.1
-SHARD_ROWS, BLOCK_ROWS, TOP = 4096, 2048, 20
+DEGREE, BUILD_BEAM, BEAM, ALPHA = 48, 96, 64, 1.1
+#: Rows of a shard at most, and at least where there are fewer shards than cores have use for; queries of a block; neighbours.
+SHARD_ROWS, LEAST_ROWS, BLOCK_ROWS, TOP = 1 << 15, 1 << 11, 1 << 15, 20
+#: Queries by which a shard's beam is set, and the share of their neighbours that it must find.
+PROBES, FOUND = 64, 0.98
 
 
 def _distances(x: np.ndarray, norms: np.ndarray, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -107,8 +112,8 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
         found, _ = beam_search(x, norms, graph, start, x[points], beam)
         graph[points] = robust_prune(x, norms, points, found, degree, alpha)
         src, col = np.nonzero(graph[points] >= 0)
-        a, b = graph[points][src, col], points[src]  # a gains b
-        by = np.lexsort((b, a))
+        a, b = graph[points][src, col], points[src]  # a gains b, the nearest first
+        by = np.lexsort((b, norms[b] - 2 * np.einsum("ij,ij->i", x[a], x[b]), a))
         a, b = a[by], b[by]
         gain, first, count = np.unique(a, return_index=True, return_counts=True)
         width = int(min(count.max(), 3 * degree))
@@ -123,15 +128,55 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
         for s in range(0, int(full.sum()), batch):
             g = np.flatnonzero(full)[s : s + batch]
             graph[gain[g]] = robust_prune(x, norms, gain[g], both[g], degree, alpha)
-    return graph, start
+    return _reachable(x, norms, graph, start), start
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", top: int = TOP, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, beam: int = BEAM) -> DataFrame:
+def _reachable(x: np.ndarray, norms: np.ndarray, graph: np.ndarray, start: int) -> np.ndarray:
+    """The graph, with one more edge a point where points can't be reached from the start: the nearest point that can be
+    reached leads to the first of them, and that one to the next."""
+    seen = np.zeros(len(x), dtype=bool)
+    seen[start] = True
+    front = np.array([start])
+    while len(front):
+        to = np.unique(graph[front])
+        front = to[(to >= 0) & ~seen[to]]
+        seen[front] = True
+    lost = np.flatnonzero(~seen)
+    if not len(lost):
+        return graph
+    known, more = np.flatnonzero(seen), np.full((len(x), 1), -1, dtype=np.int64)
+    at = np.concatenate([known[np.argmin(norms[known] - 2 * x[lost[s : s + 256]] @ x[known].T, axis=1)] for s in range(0, len(lost), 256)])
+    order = np.argsort(at, kind="stable")
+    at, lost = at[order], lost[order]
+    first = np.r_[True, at[1:] != at[:-1]]
+    more[np.where(first, at, np.r_[0, lost[:-1]]), 0] = lost
+    return np.concatenate([graph, more], axis=1)
+
+
+def measured_beam(x: np.ndarray, norms: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, top: int, beam: int = BEAM, least: float = FOUND) -> int:
+    """The first of beam, 2 * beam, .. that finds a share `least` of the `top` nearest points of the queries q, which a
+    full scan tells; 0: none up to an eighth of the points, so that a full scan is the better search."""
+    k = min(top, len(x))
+    if not len(q) or not k:
+        return max(beam, 2 * top)
+    limit = np.partition(norms - 2 * q @ x.T, k - 1, axis=1)[:, k - 1]
+    limit = limit + 1e-4 * np.abs(limit) + 1e-6
+    beam = max(beam, 2 * top)
+    while 8 * beam <= len(x):
+        _, dist = beam_search(x, norms, graph, start, q, beam)
+        if np.mean(np.minimum((dist[:, : 2 * top] <= limit[:, None]).sum(axis=1), k) / k) >= least:
+            return beam
+        beam *= 2
+    return 0
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", top: int = TOP, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, beam: int = BEAM, exact: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): the `top` largest inner products that are found for each row of `queries`.
 
     Vectors that are null, zero or hold a null or non-finite component take no part, nor do rows with a null id; a
     query meets vectors of its own length, and none of its own id. Equal scores rank by id. A query that is there twice
-    is one query. Fewer candidates give fewer rows; an empty table none. Other columns are ignored.
+    is one query. Fewer candidates give fewer rows; an empty table none. Other columns are ignored. With `exact`, all
+    shards are scanned and no neighbour is missed.
     """
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
@@ -143,9 +188,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
     copies = Window.partitionBy("key", "v").orderBy("id")
     rows = clean(vectors).withColumn("key", F.xxhash64("v")).withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= top + 1)
     rows = materialize(rows.select("id", "v", "width", "key"), "vectors")
-    shards = max(1, -(-rows.count() // shard_rows))
+    n = rows.count()
+    shards = max(1, -(-n // shard_rows), min(2 * spark.sparkContext.defaultParallelism, n // LEAST_ROWS))
     asked = materialize(clean(queries).distinct(), "queries")
     blocks = max(1, -(-asked.count() // block_rows))
+    # some queries by which each shard sets its beam
+    probes: dict[int, list] = {}
+    for r in [] if exact else asked.orderBy(F.xxhash64("id"), "id").limit(PROBES).select("width", "v").toArrow().to_pylist():
+        probes.setdefault(r["width"], []).append([*r["v"], 0.0])
 
     def index(t: pa.Table) -> pa.Table:
         width = t.column("width")[0].as_py()
@@ -155,14 +205,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
         back = back.ravel()
         lengths = (points * points).sum(axis=1)
         x = np.concatenate([points, np.sqrt(np.maximum(lengths.max() - lengths, 0))[:, None]], axis=1).astype(np.float32)
-        graph, start = build_graph(x)
+        graph, start = (np.zeros((len(x), 0), dtype=np.int64), 0) if exact else build_graph(x)
+        asked_ = np.array(probes.get(width, []), dtype=np.float32).reshape(-1, width + 1)
+        width_ = 0 if exact else measured_beam(x, (x * x).sum(axis=1), graph, start, asked_, top, beam)
         by = np.lexsort((ids, back))
         blob = [x.tobytes(), points.tobytes(), graph.astype(np.int32).tobytes(), ids[by].tobytes(), np.bincount(back, minlength=len(points)).astype(np.int64).tobytes()]
-        cols = [pa.array([width], type=pa.int32()), t.column("shard").slice(0, 1).combine_chunks(), pa.array([start], type=pa.int64())]
-        return pa.table([*cols, *(pa.array([z], type=pa.binary()) for z in blob)], names=["width", "shard", "start", "x", "points", "graph", "ids", "copies"])
+        cols = [pa.array([width], type=pa.int32()), t.column("shard").slice(0, 1).combine_chunks(), pa.array([start], type=pa.int64()), pa.array([width_], type=pa.int64())]
+        return pa.table([*cols, *(pa.array([z], type=pa.binary()) for z in blob)], names=["width", "shard", "start", "beam", "x", "points", "graph", "ids", "copies"])
 
     sharded = rows.withColumn("shard", F.pmod(F.col("key"), F.lit(shards)).cast("int"))
-    graphs = materialize(sharded.groupBy("width", "shard").applyInArrow(index, "width int, shard int, start bigint, x binary, points binary, graph binary, ids binary, copies binary"), "graphs")
+    graphs = materialize(sharded.groupBy("width", "shard").applyInArrow(index, "width int, shard int, start bigint, beam bigint, x binary, points binary, graph binary, ids binary, copies binary"), "graphs")
 
     def gather(t: pa.Table) -> pa.Table:
         width = t.column("width")[0].as_py()
@@ -187,10 +239,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
         copies_ = np.frombuffer(raw["copies"], dtype=np.int64)
         first = np.cumsum(copies_) - copies_
         q, qids = np.frombuffer(p.column("q")[0].as_py()).reshape(-1, width), np.frombuffer(p.column("qids")[0].as_py(), dtype=np.int64)
-        norms, start, out = (x * x).sum(axis=1), g.column("start")[0].as_py(), []
+        norms, start, beam_, out = (x * x).sum(axis=1), g.column("start")[0].as_py(), g.column("beam")[0].as_py(), []
         for at in range(0, len(q), 512):
             part, own = q[at : at + 512], qids[at : at + 512]
-            met, _ = beam_search(x, norms, graph, start, np.concatenate([part, np.zeros((len(part), 1))], axis=1).astype(np.float32), max(beam, 2 * top))
+            if beam_:
+                met, _ = beam_search(x, norms, graph, start, np.concatenate([part, np.zeros((len(part), 1))], axis=1).astype(np.float32), beam_)
+            else:
+                k = min(len(points), 2 * top + 8)
+                met = np.argpartition(-(part @ points.T), k - 1, axis=1)[:, :k]
             row, col = np.nonzero(met >= 0)
             point = met[row, col]
             # summed from the first component to the last
@@ -215,6 +271,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
 
 
 def op5_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of each row whose id is divisible by 20; see nearest() for odd rows."""
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from quillmill.llm.ann import nearest, op5_pruned_graph
+from quillmill.llm.ann import build_graph, nearest, op5_pruned_graph
 from quillmill.llm.embedding_dedup import cosine_components, op8_hyperplane_dedup, plan
 
 SF = "/root/testdata/sf0.01"
@@ -100,3 +100,39 @@ def test_recall_over_shards_and_blocks(spark):
 def test_neighbours_of_nothing(spark):
     df = spark.createDataFrame([(20, [1.0, 2.0])], "vec_id long, embedding array<double>")
     assert nearest(df, df).count() == 0 and nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_recall_on_vectors_without_structure(spark):
+    rng = np.random.default_rng(21)
+    rows = [(i, rng.normal(size=128).tolist()) for i in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    want = brute_nearest(rows, [r for r in rows if r[0] % 20 == 0], 20)
+    for exact in (False, True):
+        got = {}
+        for r in nearest(df, df.where("vec_id % 20 = 0"), exact=exact).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        if exact:
+            assert {q: [(v, s) for _, v, s in sorted(x)] for q, x in got.items()} == want
+        recall = np.mean([len({v for _, v, _ in got[q]} & {v for v, _ in want[q]}) / 20 for q in want])
+        assert recall >= 0.95
+
+
+def test_every_point_is_reached():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(500, 8)) + 50 * k for k in range(4)]).astype(np.float32)
+    graph, start = build_graph(x, degree=4, beam=8)
+    seen, todo = {start}, [start]
+    while todo:
+        for j in set(graph[todo.pop()].tolist()) - seen - {-1}:
+            seen.add(j)
+            todo.append(j)
+    assert len(seen) == len(x)
+
+
+def test_large_buckets_are_cut(spark):
+    rng = np.random.default_rng(6)
+    hot = rng.normal(size=16)
+    rows = [(i, 1, (hot + 0.06 * rng.normal(size=16)).tolist()) for i in range(200)] + [(i, 1, rng.normal(size=16).tolist()) for i in range(200, 260)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in cosine_components(df, block=30, bucket_rows=25).collect()}
+    assert got == brute_components(rows)

@@ -113,3 +113,18 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert pack(none).count() == 0
     assert read_token_files(write_token_files(none, scratch_path(spark, "none"))).count() == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_any_tokenizer_gives_the_ids_of_the_library(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quillmill.llm.tokens import encoder
+
+    path = public_tokenizers.path(name)
+    own, lib = encoder(path), Tokenizer.from_file(path)
+    texts = [None, "", " ", "Hello  world, it's me\n\nand  you", "  été à\u00a0la\tmode ", "a" * 300 + " b", "1 2  3\r\n", "don' t won't"]
+    got = [np.frombuffer(x, dtype=own.dtype).tolist() for x in own.encode(texts)]
+    assert got == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert own.split == (name == "word_bpe_49k.json")
