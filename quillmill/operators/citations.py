@@ -107,7 +107,8 @@ def scan(text: str, replacement: str = "", legacy: bool = False, validate: bool
     """One text: what is left of it, artefacts by type, every match with its verdict."""
     left, artefacts = text, {}
     for name, p in rules.ARTEFACTS.items():
-        left, artefacts[name] = re.subn(p, lambda _: replacement, left)
+        some = any(x in left for x in rules.LITERALS[name])
+        left, artefacts[name] = re.subn(p, lambda _: replacement, left) if some else (left, 0)
     found, spans = [], []
     for kind, p in (patterns or fixed.PATTERNS).items():
         for m in re.finditer(p, left):

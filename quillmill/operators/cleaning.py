@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,20 +12,51 @@ from ..functions.binding import let
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(rules.BLANKS))
 
 
 def count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern)).cast("long")
 
 
-def remove_patterns(df: DataFrame, patterns: dict[str, str], replacement: str = "", text: str = "text") -> DataFrame:
-    """Each pattern on what the one before has left; `{name}_found` counts its matches."""
+def word_count(c: Column) -> Column:
+    return F.regexp_count(c, F.lit(r"\S+"))
+
+
+def _where(name: str, c: Column, some: Column, none: Column) -> Column:
+    """`some` where a text holds one of the literals that the pattern needs, which costs next to nothing to tell."""
+    parts = rules.LITERALS.get(name)
+    if not parts:
+        return some
+    holds = F.contains(c, F.lit(parts[0]))
+    for p in parts[1:]:
+        holds = holds | F.contains(c, F.lit(p))
+    return F.when(c.isNull() | holds, some).otherwise(none)
+
+
+def without(c: Column, patterns: dict[str, str], replacement: str = "") -> Column:
+    """The text without the matches of each pattern, one after the other; each step is computed once."""
+    for name, p in patterns.items():
+        c = let(c, lambda t: _where(name, t, F.regexp_replace(t, p, replacement), t))  # noqa: B023
+    return c
+
+
+def remove_patterns(df: DataFrame, patterns: dict[str, str], replacement: str | Callable[[str], str] = "", text: str = "text") -> DataFrame:
+    """Each pattern on what the one before has left; `{name}_found` counts its matches. A replacement may depend on the
+    pattern's name, as debug_tag() does."""
+    own = F.col(text)
     for name, p in patterns.items():
-        df = df.withColumn(f"{name}_found", count(F.col(text), p)).withColumn(text, F.regexp_replace(text, p, replacement))
+        put = replacement(name) if callable(replacement) else replacement
+        found = _where(name, own, count(own, p), F.lit(0).cast("long"))
+        df = df.withColumn(f"{name}_found", found).withColumn(text, F.when(F.col(f"{name}_found") > 0, F.regexp_replace(own, p, put)).otherwise(own))
     return df
 
 
+def debug_tag(kind: str) -> Callable[[str], str]:
+    """What stands in a text in place of a removed match, for looking at the rules' work."""
+    return lambda name: f"[DEBUG:{kind}:{name}]"
+
+
 def normalize_whitespace(c: Column) -> Column:
     c = F.regexp_replace(c, r"[ \t]+", " ")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
@@ -34,13 +67,14 @@ def normalize_whitespace(c: Column) -> Column:
 def whitespace_changes(df: DataFrame, text: str = "text") -> DataFrame:
     """The normalised text beside flags of what changed, and the reductions in characters and words."""
     new = normalize_whitespace(F.col(text))
-    words = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
     return df.withColumn("clean", new).withColumns({
         "multiple_spaces": F.col(text).rlike(r"[ \t]{2,}|\t"),
         "multiple_newlines": F.col(text).rlike(r"\n{3,}"),
+        "leading_spaces": F.col(text).rlike(r"(?m)^[ ]+"),
+        "outer_blanks": F.col(text) != strip(F.col(text)),
         "changed": F.col(text) != F.col("clean"),
         "length_reduction": F.length(text) - F.length("clean"),
-        "word_reduction": words(F.col(text)) - words(F.col("clean")),
+        "word_reduction": word_count(F.col(text)) - word_count(F.col("clean")),
     })
 
 
@@ -63,11 +97,7 @@ def _signs(lookalikes: bool) -> dict[str, str]:
     return (rules.LOOKALIKES if lookalikes else {}) | {k: v for k, v in rules.SYMBOLS.items() if v}
 
 
-def normalize_symbols(c: Column, lookalikes: bool = True) -> Column:
-    """Invisible signs, entries of contents and tables, dots, then signs. `lookalikes` rewrites Cyrillic letters, which
-    is meant for texts in Latin script: a caller may choose it by language."""
-    for p, r in _symbol_steps():
-        c = F.regexp_replace(c, p, r)
+def _spelled(c: Column, lookalikes: bool) -> Column:
     signs = _signs(lookalikes)
     singles = {k: v for k, v in signs.items() if len(k) == len(v) == 1}
     c = F.translate(c, "".join(singles), "".join(singles.values()))
@@ -77,16 +107,29 @@ def normalize_symbols(c: Column, lookalikes: bool = True) -> Column:
     return c
 
 
-def symbol_count(c: Column, lookalikes: bool = True) -> Column:
-    """How many matches the rules of normalize_symbols() have, one after the other; 0 if they change nothing. Straight
-    quotation marks count, as one rule puts them in their own place."""
+def normalize_symbols(c: Column, lookalikes: bool = True) -> Column:
+    """Invisible signs, entries of contents and tables, dots, then signs. `lookalikes` rewrites Cyrillic letters, which
+    is meant for texts in Latin script: a caller may choose it by language."""
+    for p, r in _symbol_steps():
+        c = F.regexp_replace(c, p, r)
+    return _spelled(c, lookalikes)
+
+
+def symbols(c: Column, lookalikes: bool = True) -> Column:
+    """(text, n): normalize_symbols() and how many matches its rules have, one after the other; n is 0 if they change
+    nothing. Straight quotation marks count, as one rule puts them in their own place. Each rule's text is computed once."""
     state = F.struct(c.alias("t"), F.lit(0).cast("long").alias("n"))
     for p, r in _symbol_steps():
-        # named, so that each rule's text is computed once and not again by all later rules
-        state = let(state, lambda e: F.struct(F.regexp_replace(e["t"], p, r).alias("t"), (e["n"] + count(e["t"], p)).alias("n")))
+        changed = lambda e, k: F.struct(F.when(k > 0, F.regexp_replace(e["t"], p, r)).otherwise(e["t"]).alias("t"), (e["n"] + k).alias("n"))  # noqa: B023, E731
+        state = let(state, lambda e: let(count(e["t"], p), lambda k: changed(e, k)))  # noqa: B023
     signs = "[" + "".join(k for k in _signs(lookalikes) if len(k) == 1) + '"]'
-    n = let(state, lambda e: e["n"] + count(e["t"], signs) + count(e["t"], ": \"'\", r"))
-    return F.when(c != normalize_symbols(c, lookalikes), n).otherwise(F.lit(0).cast("long"))
+    n = lambda e: e["n"] + count(e["t"], signs) + count(e["t"], ": \"'\", r")
+    both = let(state, lambda e: F.struct(_spelled(e["t"], lookalikes).alias("text"), n(e).alias("n")))
+    return let(both, lambda b: F.struct(b["text"].alias("text"), F.when(c != b["text"], b["n"]).otherwise(F.lit(0).cast("long")).alias("n")))
+
+
+def symbol_count(c: Column, lookalikes: bool = True) -> Column:
+    return symbols(c, lookalikes)["n"]
 
 
 def lines(c: Column) -> Column:
@@ -95,47 +138,52 @@ def lines(c: Column) -> Column:
     return let(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0)))).otherwise(p))
 
 
-def _words(c: Column) -> Column:
-    return F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
-
-
 def line_reasons(c: Column) -> Column:
     """Array of (line, reason) of a text; the first rule that holds names the reason, null: the line stays.
 
     Rules: the stripped line equals one of the five non-empty lines before it; two tabs beside another line with two;
     a short line of numbers or a label; metadata; copyright. Blank lines always stay.
-    """
-    split = F.transform(lines(c), lambda x: F.struct(x.alias("line"), strip(x).alias("s"), (F.length(x) - F.length(F.replace(x, F.lit("\t"), F.lit("")))).alias("tabs")))
 
-    def again(rows: Column) -> Column:
-        """For each non-empty line, whether one of the five before it is the same."""
-        full = F.transform(F.filter(rows, lambda x: x["s"] != ""), lambda x: x["s"])
-        return let(full, lambda f: F.transform(f, lambda x, i: F.array_contains(F.slice(f, F.greatest(i - 4, F.lit(1)), F.least(i, F.lit(5))), x)))
+    Work is in proportion to the lines: those that aren't blank are judged in an array of their own, where the lines
+    before one are its neighbours, and the blank ones between them are put back by slices.
+    """
+    row = lambda x: F.struct(x.alias("line"), strip(x).alias("s"), (F.length(x) - F.length(F.replace(x, F.lit("\t"), F.lit("")))).alias("tabs"))
 
-    def ranks(rows: Column) -> Column:
-        """How many non-empty lines there are up to each line."""
-        start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at"))
-        n = lambda s, x: s["n"] + (x["s"] != "").cast("int")
-        return F.aggregate(rows, start, lambda s, x: F.struct(n(s, x).alias("n"), F.concat(s["at"], F.array(n(s, x))).alias("at")), lambda s: s["at"])
+    def full(rows: Column) -> Column:
+        """The lines that aren't blank, with their places and whether a line beside them has two tabs."""
+        tabs = lambda k: F.coalesce(F.get(rows, k)["tabs"], F.lit(0))
+        placed = F.transform(rows, lambda x, i: F.struct(i.alias("i"), x["line"].alias("line"), x["s"].alias("s"), ((x["tabs"] >= 2) & ((tabs(i - 1) >= 2) | (tabs(i + 1) >= 2))).alias("tabular")))
+        return F.filter(placed, lambda x: x["s"] != "")
 
-    def reason(e: Column, x: Column, i: Column) -> Column:
+    def reason(f: Column, x: Column, k: Column) -> Column:
         s = x["s"]
-        tabs = lambda k: F.coalesce(F.get(e["rows"], k)["tabs"], F.lit(0))
-        code = ((_words(s) <= 8) & s.rlike(rules.METADATA_CODE)) | (s.rlike(rules.METADATA_CAPS) & ~s.rlike("[a-z]") & (F.length(F.replace(s, F.lit(" "), F.lit(""))) < 8))
-        r = F.when(s == "", F.lit(None).cast("string")).when(F.get(e["again"], F.get(e["ranks"], i) - 1), "repetition")
-        r = r.when((x["tabs"] >= 2) & ((tabs(i - 1) >= 2) | (tabs(i + 1) >= 2)), "tabular")
-        r = r.when((_words(s) <= 3) & (F.length(s) <= 15) & s.rlike(rules.SHORT_LINE), "short").when(s.rlike(rules.METADATA_KEYWORDS) | code, "metadata")
-        return F.struct(x["line"].alias("line"), r.when(s.rlike(rules.COPYRIGHT), "copyright").alias("reason"))
+        again = F.exists(F.slice(f, F.greatest(k - 4, F.lit(1)), F.least(k, F.lit(5))), lambda y: y["s"] == s)
+        code = ((word_count(s) <= 8) & s.rlike(rules.METADATA_CODE)) | (s.rlike(rules.METADATA_CAPS) & ~s.rlike("[a-z]") & (F.length(F.replace(s, F.lit(" "), F.lit(""))) < 8))
+        r = F.when(again, "repetition").when(x["tabular"], "tabular")
+        r = r.when((F.length(s) <= 15) & (word_count(s) <= 3) & s.rlike(rules.SHORT_LINE), "short").when(s.rlike(rules.METADATA_KEYWORDS) | code, "metadata")
+        return r.when(s.rlike(rules.COPYRIGHT), "copyright")
+
+    out = lambda line, why: F.struct(line.alias("line"), why.alias("reason"))
+    none = F.lit(None).cast("string")
+
+    def put_back(e: Column) -> Column:
+        rows, f = e["rows"], e["full"]
+        blank = lambda at, n: F.transform(F.slice(rows, at + 1, F.greatest(n, F.lit(0))), lambda x: out(x["line"], none))
+        after = lambda k: F.when(k >= 1, F.get(f, k - 1)["i"] + 1).otherwise(F.lit(0))
+        judged = F.transform(f, lambda x, k: let(after(k), lambda a: F.concat(blank(a, x["i"] - a), F.array(out(x["line"], reason(f, x, k))))))
+        last = let(after(F.size(f)), lambda a: blank(a, F.size(rows) - a))
+        return F.concat(F.flatten(judged), last)
 
-    def reasons(rows: Column) -> Column:
-        known = F.struct(rows.alias("rows"), again(rows).alias("again"), ranks(rows).alias("ranks"))
-        return let(known, lambda e: F.transform(e["rows"], lambda x, i: reason(e, x, i)))
+    def judged(rows: Column) -> Column:
+        return let(F.struct(rows.alias("rows"), full(rows).alias("full")), put_back)
 
-    return let(split, reasons)
+    return let(F.transform(lines(c), row), judged)
 
 
-def clean_lines(c: Column) -> Column:
-    """The text of the lines that no rule removes."""
+def clean_lines(c: Column, debug: bool = False) -> Column:
+    """The text of the lines that no rule removes; with `debug`, a tag with the reason stands in place of the others."""
+    if debug:
+        return F.array_join(F.transform(line_reasons(c), lambda x: F.when(x["reason"].isNull(), x["line"]).otherwise(F.concat(F.lit("[DEBUG:lines:"), x["reason"], F.lit("]")))), "\n")
     return F.array_join(F.transform(F.filter(line_reasons(c), lambda x: x["reason"].isNull()), lambda x: x["line"]), "\n")
 
 
@@ -147,7 +195,8 @@ def figure_lines(c: Column) -> Column:
 
     def numbers(s: Column) -> Column:
         words = F.filter(F.split(s, r"\s+"), lambda w: w != "")
-        return let(words, lambda w: F.size(w).between(2, 5) & (F.size(F.filter(w, lambda x: x.rlike(rules.NUMERIC_WORD))) >= 0.6 * F.size(w)))
+        # the cheap tests first
+        return word_count(s).between(2, 5) & s.rlike("[0-9]") & let(words, lambda w: F.size(F.filter(w, lambda x: x.rlike(rules.NUMERIC_WORD))) >= 0.6 * F.size(w))
 
     return F.array_join(F.filter(lines(c), lambda x: ~goes(x)), "\n")
 
@@ -162,9 +211,7 @@ def recovery_band(df: DataFrame, score: str, new: float = rules.RECOVERY[0], old
 
 def clean_text(c: Column) -> Column:
     """Artefacts, accepted citations, lines, figures, symbols, white space: one expression, each step computed once."""
-    for p in (rules.ARTEFACTS | rules.CITATIONS).values():
-        c = F.regexp_replace(c, p, "")
-    return normalize_whitespace(normalize_symbols(figure_lines(clean_lines(c))))
+    return normalize_whitespace(normalize_symbols(figure_lines(clean_lines(without(c, rules.ARTEFACTS | rules.CITATIONS)))))
 
 
 def clean_documents(df: DataFrame, text: str = "text") -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import citations, cleaning, corpus_cleaning, evals, sections, spans, splits, stats, windows
+from ..sources import corpus
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -14,7 +17,8 @@ D = "WITH d AS (SELECT doc_id, text, lang, source, n_chars, list_filter(regexp_s
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return corpus.spread(df) if name == "documents" else df
 
 
 def query(name: str, sql: str | None = None):
@@ -28,7 +32,8 @@ def query(name: str, sql: str | None = None):
 
 
 def _q(p: str) -> str:
-    return "'" + p.replace("'", "''") + "'"
+    """A pattern as DuckDB has it, which knows no possessive repetition and needs none."""
+    return "'" + re.sub(r"(?<=[+*}?])\+", "", p).replace("'", "''") + "'"
 
 
 def _removed(patterns: dict[str, str], text: str = "text") -> str:
@@ -121,7 +126,8 @@ def _symbols() -> str:
 
 @query("symbol_normalize", _symbols())
 def symbol_normalize(s, sf):
-    return _t(s, sf, "documents").select("doc_id", cleaning.normalize_symbols(F.col("text")).alias("clean"), cleaning.symbol_count(F.col("text")).alias("n"))
+    both = cleaning.symbols(F.col("text"))
+    return _t(s, sf, "documents").select("doc_id", F.explode(F.array(both)).alias("s")).select("doc_id", F.col("s.text").alias("clean"), "s.n")
 
 
 _LINES = f"""WITH l AS (

@@ -6,6 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A table of fewer bytes is dealt out to all cores before costly work on its rows.
+SMALL = 1 << 28
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table that has fewer files than there are cores is dealt out to all of them: a file of one row group is
+    one task however many there are. Its size is checked; a larger one stays as its files have it."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def read_corpus(spark: SparkSession, path: str, text: str = "text", key: str = "id", pattern: str | None = None, limit: int = -1, defaults: dict | None = None) -> DataFrame:
     """Parquet documents as (text, id, ...); `limit` is of the whole corpus; defaults fill absent or null columns."""
     reader = spark.read.option("pathGlobFilter", pattern) if pattern else spark.read
