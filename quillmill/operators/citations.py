@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import citations as fixed
@@ -164,3 +164,30 @@ def document_totals(counts: DataFrame, id_col: str = "doc_id") -> DataFrame:
     docs = counts.groupBy(id_col).agg(*[F.sum(c).alias(c) for c in ("found", "removed", "rejected")])
     out = docs.agg(F.count("*").alias("docs"), F.count_if(F.col("removed") > 0).alias("docs_with"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("found", "removed", "rejected")])
     return out.withColumn("citation_rate", F.when(F.col("docs") > 0, F.col("docs_with") / F.col("docs")).otherwise(F.lit(0.0)))
+
+
+def document_metadata(scanned_docs: DataFrame) -> DataFrame:
+    """scanned_docs with the fixed columns of a document's citations: {type}_found, _removed and _rejected for each type,
+    citations_found, _removed and _rejected for all, had_citations."""
+    out = {}
+    for kind in [*rules.ARTEFACTS, *fixed.PATTERNS]:
+        own = F.filter("matches", lambda m: m["type"] == kind)  # noqa: B023
+        plain = F.coalesce(F.element_at("artefacts", F.lit(kind)), F.lit(0)) if kind in rules.ARTEFACTS else F.lit(0)
+        out[f"{kind}_found"] = (plain + F.size(own)).cast("long")
+        out[f"{kind}_removed"] = (plain + F.size(F.filter(own, lambda m: m["accepted"]))).cast("long")
+    total = lambda part: sum((out[f"{k}_{part}"] for k in [*rules.ARTEFACTS, *fixed.PATTERNS]), F.lit(0))
+    found, removed = total("found"), total("removed")
+    out |= {"citations_found": found.cast("long"), "citations_removed": removed.cast("long"), "citations_rejected": (found - removed).cast("long"), "had_citations": removed > 0}
+    return scanned_docs.withColumns(out)
+
+
+def change_metrics(before: Column, after: Column) -> dict[str, Column]:
+    """How a text has changed: lengths, words, and the reductions with their shares."""
+    a, b = F.length(before), F.length(after)
+    x, y = F.regexp_count(before, F.lit(r"\S+")), F.regexp_count(after, F.lit(r"\S+"))
+    share = lambda new, old: F.when(old > 0, (old - new) / old).otherwise(F.lit(0.0))
+    return {
+        "original_length": a, "cleaned_length": b, "length_reduction": a - b, "length_reduction_ratio": share(b, a),
+        "original_words": x, "cleaned_words": y, "word_reduction": x - y, "word_reduction_ratio": share(y, x),
+    }
+

@@ -209,6 +209,16 @@ def recovery_band(df: DataFrame, score: str, new: float = rules.RECOVERY[0], old
     return df.where((F.col(score) >= new) & (F.col(score) < old))
 
 
+def with_recovery(df: DataFrame, score: str, new: float = rules.RECOVERY[0], old: float = rules.RECOVERY[1]) -> DataFrame:
+    """recovery_band() with what a recovered document carries: its score and both thresholds."""
+    return recovery_band(df, score, new, old).withColumns({"recovered_score": F.col(score), "old_threshold": F.lit(old), "new_threshold": F.lit(new)})
+
+
+def recovery_report(df: DataFrame, score: str, new: float = rules.RECOVERY[0], old: float = rules.RECOVERY[1]) -> DataFrame:
+    s = F.col(score)
+    return df.agg(F.count("*").alias("n"), F.count_if((s >= new) & (s < old)).alias("recovered"), F.count_if(s >= old).alias("too_high"), F.count_if(s < new).alias("too_low"))
+
+
 def clean_text(c: Column) -> Column:
     """Artefacts, accepted citations, lines, figures, symbols, white space: one expression, each step computed once."""
     return normalize_whitespace(normalize_symbols(figure_lines(clean_lines(without(c, rules.ARTEFACTS | rules.CITATIONS)))))

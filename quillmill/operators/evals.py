@@ -145,3 +145,127 @@ def markdown(df: DataFrame, title: str, rows: int = 10) -> str:
     head = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     cell = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
     return "\n".join([*head, *["| " + " | ".join(map(cell, r)) + " |" for r in df.limit(rows).collect()]])
+
+
+def improved(df: DataFrame, group: str, delta: str) -> DataFrame:
+    """(group, mean_delta, side): groups whose mean delta is above 0 are improved; others, and those without one, regressed.
+    Missing means sort last."""
+    means = df.groupBy(group).agg(F.avg(delta).alias("mean_delta"))
+    return means.withColumn("side", F.when(F.col("mean_delta") > 0, "improved").otherwise("regressed")).orderBy(F.desc_nulls_last("mean_delta"), group)
+
+
+def all_names(*tables: DataFrame, name: str) -> DataFrame:
+    """The distinct names of several tables."""
+    out = tables[0].select(name)
+    for t in tables[1:]:
+        out = out.union(t.select(name))
+    return out.distinct()
+
+
+def common_names(*tables: DataFrame, name: str) -> DataFrame:
+    """The names that all tables have."""
+    out = tables[0].select(name)
+    for t in tables[1:]:
+        out = out.intersect(t.select(name))
+    return out.distinct()
+
+
+def baseline_average(df: DataFrame, baseline: DataFrame, name: str, score: str, default: float = 0.25) -> DataFrame:
+    """(name, score, baseline): a group's baseline score, and the chance of a guess where it has none."""
+    b = baseline.groupBy(name).agg(F.avg(score).alias("baseline"))
+    return df.join(b, name, "left").withColumn("baseline", F.coalesce("baseline", F.lit(default)))
+
+
+def by_alias(df: DataFrame, name: str, aliases: dict[str, str]) -> DataFrame:
+    """df with a name's one spelling in its place; a name without an alias stays. The list is a few names."""
+    if not aliases:
+        return df
+    known = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
+    return df.withColumn(name, F.coalesce(F.element_at(known, F.col(name)), F.col(name)))
+
+
+def ordered_matrix(df: DataFrame, row: str, column: str, value: str, columns: int = 100) -> DataFrame:
+    """A row for each subject, best mean first, and a column for each run, worst mean first; at most `columns` runs."""
+    runs = df.groupBy(column).agg(F.avg(value).alias("m")).orderBy(F.asc_nulls_first("m"), column).limit(columns + 1).collect()
+    if len(runs) > columns:
+        raise ValueError(f"more than {columns} runs")
+    wide = df.groupBy(row).pivot(column, [r[column] for r in runs]).agg(F.avg(value))
+    means = df.groupBy(F.col(row).alias("__row")).agg(F.avg(value).alias("__mean"))
+    return wide.join(means, F.col(row).eqNullSafe(F.col("__row"))).orderBy(F.desc_nulls_last("__mean"), row).drop("__row", "__mean")
+
+
+def metric_order(name: Column, first: list[str]) -> Column:
+    """Sorting key of a metric: those of the fixed list in its order, then other averages and MMLU groups, then the rest."""
+    grouped = name.endswith("_Average") | name.startswith("MMLU_")
+    at = F.array_position(F.array(*[F.lit(x) for x in first]), name)
+    return F.when(at > 0, at).when(grouped, F.lit(len(first) + 1)).otherwise(F.lit(len(first) + 2)).cast("int")
+
+
+def measures_table(df: DataFrame, row: str, run: str, measures: list[str], runs: list[str]) -> DataFrame:
+    """A row for each subject and a column {run}_{measure} for each measure of each run; 0 where there is none."""
+    wide = df.groupBy(row).pivot(run, runs).agg(*[F.max(m).alias(m) for m in measures])
+    return wide.fillna(0, [f"{r}_{m}" for r in runs for m in measures])
+
+
+def best_rows(df: DataFrame, row: str, value: str, n: int = 20) -> DataFrame:
+    """The `n` subjects with the highest means over all runs."""
+    return df.groupBy(row).agg(F.avg(value).alias("mean")).orderBy(F.desc_nulls_last("mean"), row).limit(n)
+
+
+def run_date(path: Column) -> Column:
+    """The time in a path as YYYY-MM-DD_HH-MM-SS; null without one."""
+    text = F.regexp_extract(path, r"(\d{4}-\d{2}-\d{2})_(\d{2}-\d{2}-\d{2})", 0)
+    return F.try_to_timestamp(F.concat(F.substring(text, 1, 10), F.lit(" "), F.replace(F.substring(text, 12, 8), F.lit("-"), F.lit(":"))), F.lit("yyyy-MM-dd HH:mm:ss"))
+
+
+def step_of(path: Column) -> Column:
+    """The number of a step in a path: step_12k, step-500; 0 without one."""
+    digits, k = F.regexp_extract(path, r"step[_-]?(\d+)(k?)", 1), F.regexp_extract(path, r"step[_-]?(\d+)(k?)", 2)
+    return F.coalesce(digits.try_cast("long") * F.when(k == "k", 1000).otherwise(1), F.lit(0)).cast("long")
+
+
+def run_type(name: Column) -> Column:
+    low = F.lower(name)
+    return F.when(low.rlike("baseline|original"), "baseline").when(low.contains("best"), "best").when(low.contains("step"), "step").otherwise("other")
+
+
+def baseline_of(df: DataFrame, name: str, path: str, order: str) -> DataFrame:
+    """The one row that is the baseline: the first whose path names t5-base or whose name says baseline or original, else
+    the first of all. A list of models, not of texts."""
+    known = F.col(path).contains("t5-base") | F.lower(name).rlike("baseline|original")
+    return df.orderBy(F.when(known, 0).otherwise(1), order).limit(1)
+
+
+def result_status(df: DataFrame, run: str, task: str, acc: str, total: str, subsets: list[str]) -> DataFrame:
+    """(run, score, tasks, status) from long scores: the score of the task `total`, else the mean of the subsets there
+    are; success where all subsets have a score, partial where some have, failed where none has and there is no total."""
+    part = F.col(task).isin(subsets) & F.col(acc).isNotNull()
+    out = df.groupBy(run).agg(F.max(F.when(F.col(task) == total, F.col(acc))).alias("t"), F.avg(F.when(part, F.col(acc))).alias("m"), F.count_distinct(F.when(part, F.col(task))).alias("tasks"))
+    status = F.when(F.col("tasks") >= len(subsets), "success").when((F.col("tasks") > 0) | F.col("t").isNotNull(), "partial").otherwise("failed")
+    return out.select(run, F.coalesce("t", "m").alias("score"), "tasks", status.alias("status"))
+
+
+def wide_results(df: DataFrame, run: str, task: str, acc: str, tasks: list[str], categories: dict[str, list[str]]) -> DataFrame:
+    """A row for each run: subtask_{task} and category_{name} (the mean of its tasks that are there) as text with four
+    digits, the empty string where there is none."""
+    text = lambda c: F.coalesce(F.format_string("%.4f", c), F.lit(""))
+    shown = lambda c: F.when(c.isNotNull(), text(c)).otherwise(F.lit(""))
+    one = [shown(F.max(F.when(F.col(task) == t, F.col(acc)))).alias(f"subtask_{t}") for t in tasks]
+    more = [shown(F.avg(F.when(F.col(task).isin(parts), F.col(acc)))).alias(f"category_{c}") for c, parts in categories.items()]
+    return df.groupBy(run).agg(*one, *more)
+
+
+def summary_by_type(df: DataFrame, kind: str, value: str) -> DataFrame:
+    return df.groupBy(kind).agg(F.count("*").alias("runs"), F.avg(value).alias("mean"), F.max(value).alias("best"), F.min(value).alias("worst"))
+
+
+def prefixed(df: DataFrame, column: str, prefix: str, skip: list[str] = ()) -> DataFrame:
+    """(…, subject, value): the entries of a map whose keys begin with a prefix, without it; keys of `skip` go."""
+    rest = [c for c in df.columns if c != column]
+    out = df.select(*rest, F.explode(column).alias("k", "value")).where(F.col("k").startswith(prefix) & ~F.col("k").isin(*skip))
+    return out.select(*rest, F.substring("k", len(prefix) + 1, 1 << 20).alias("subject"), "value")
+
+
+def first_of(struct: Column, names: list[str], default: float | None = None) -> Column:
+    """The first of several metrics, by their order of priority, that a map has."""
+    return F.coalesce(*[F.try_element_at(struct, F.lit(n)) for n in names], F.lit(default))

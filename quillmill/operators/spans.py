@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .windows import token_windows
@@ -42,6 +42,31 @@ def noise_mask(n: int, noise: float, mean_span: float, rng: np.random.Generator)
     return np.repeat(np.arange(2 * spans) % 2 == 1, both)
 
 
+def drawn_spans(n: int, noise: float, mean_span: float, rng: np.random.Generator, most: int = 10) -> np.ndarray:
+    """An older mask: spans of Poisson lengths (1 to `most`) at random starts, until the share of noise is hidden."""
+    mask, goal = np.zeros(n, dtype=bool), int(n * noise)
+    for _ in range(20 * max(1, goal)):
+        if mask.sum() >= goal:
+            break
+        size = int(min(max(1, rng.poisson(mean_span)), most, goal - mask.sum()))
+        at = int(rng.integers(0, max(1, n - size + 1)))
+        # spans neither meet nor touch
+        if not mask[max(0, at - 1) : at + size + 1].any():
+            mask[at : at + size] = True
+    return mask
+
+
+def label_mask(labels: Column, pad: int = 0) -> Column:
+    """Labels with -100 in place of padding."""
+    return F.transform(labels, lambda x: F.when(x == pad, F.lit(-100)).otherwise(x))
+
+
+def utilisation(df: DataFrame, mask: str = "attention_mask", least: float = 0.90) -> DataFrame:
+    """One row: the mean share of positions that aren't padding, and whether it is as high as it should be."""
+    share = F.aggregate(mask, F.lit(0), lambda a, x: a + x) / F.greatest(F.size(mask), F.lit(1))
+    return df.agg(F.avg(share).alias("utilisation")).withColumn("enough", F.col("utilisation") >= least)
+
+
 def corrupt(tokens: np.ndarray, mask: np.ndarray, vocab: int, eos: int) -> tuple[list[int], list[int]]:
     """(input, target): each hidden span is one sentinel, counted down from vocab - 1."""
 

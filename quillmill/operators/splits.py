@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,25 +46,68 @@ def conflicts(manifest: DataFrame, id_col: str = "doc_id", split_col: str = "spl
     return manifest.groupBy(id_col).agg(F.countDistinct(split_col).alias("n_splits")).where("n_splits > 1")
 
 
-def materialize_splits(docs: DataFrame, manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs with doc_split; an id that the manifest lacks, or has twice with different splits, is an error."""
-    if not conflicts(manifest, id_col).isEmpty():
-        raise ValueError("the manifest gives one id different splits")
-    known = manifest.select(id_col, F.col("split").alias("doc_split")).distinct()
-    missing = docs.join(known, id_col, "left_anti").limit(1).collect()
-    if missing:
-        raise ValueError(f"the manifest lacks {missing[0][id_col]!r}")
-    return docs.join(known, id_col)
-
-
-def exact_sample(df: DataFrame, n: int, seed: int, id_col: str = "doc_id") -> DataFrame:
-    """`n` rows without replacement, the ones with the smallest hashes; -1: all. Slim ids are chosen, then joined."""
+def materialize_splits(docs: DataFrame, manifest: DataFrame, id_col: str = "doc_id", eager: bool = True) -> DataFrame:
+    """docs with doc_split; an id that the manifest lacks, or has twice with different splits, is an error. It is raised
+    at once, after one pass over ids alone; or, without `eager`, when the row is read, and no pass is made before."""
+    known = manifest.groupBy(F.col(id_col).alias("__id")).agg(F.min("split").alias("doc_split"), F.max("split").alias("__other"))
+    join = lambda df: df.join(known, df[id_col] == F.col("__id"), "left")
+    missing, twice = F.col("doc_split").isNull(), F.col("doc_split") != F.col("__other")
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit("a null id"))
+    if eager:
+        clash = known.where(twice).limit(1).count()
+        lost = join(docs.select(id_col)).where(missing).select(name.alias("id")).limit(1).collect()
+        if clash:
+            raise ValueError("the manifest gives one id different splits")
+        if lost:
+            raise ValueError(f"the manifest lacks {lost[0]['id']}")
+    wrong = F.when(missing, F.raise_error(F.concat(F.lit("the manifest lacks "), name)).cast("string"))
+    wrong = wrong.when(twice, F.raise_error(F.concat(F.lit("the manifest gives one id different splits: "), name)).cast("string"))
+    return join(docs).withColumn("doc_split", wrong.otherwise(F.col("doc_split"))).drop("__id", "__other")
+
+
+def exact_sample(df: DataFrame, n: int, seed: int, id_col: str = "doc_id", allow_smaller: bool = True) -> DataFrame:
+    """`n` rows without replacement, the ones with the smallest hashes; -1: all. Slim ids are chosen, then joined. Fewer
+    rows than asked for are an error unless `allow_smaller`."""
     if n < 0:
         return df
+    if not allow_smaller:
+        enough(df.limit(n).count(), n, "rows")
     chosen = df.select(id_col).orderBy(hash_unit(seed, F.col(id_col)), id_col).limit(n)
     return df.join(chosen, id_col, "left_semi")
 
 
+#: What each split adds to a seed, in the order in which splits are drawn.
+SPLIT_SEEDS = {"val": 101, "test": 202, "train": 303}
+
+
+def split_samples(df: DataFrame, sizes: dict[str, int], seed: int, split: str = "split", id_col: str = "doc_id", allow_smaller: bool = False) -> DataFrame:
+    """An exact sample of each split, by a seed of its own; -1: all of it."""
+    parts = [exact_sample(df.where(F.col(split) == name), n, seed + SPLIT_SEEDS.get(name, 0), id_col, allow_smaller) for name, n in sizes.items()]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def enough(have: float, want: float, what: str, allow_smaller: bool = False) -> None:
+    if have < want and not allow_smaller:
+        raise ValueError(f"not enough data: {have} {what} where {want} are asked for")
+
+
+def budget_chars(gigabytes: float | None = None, chars: int | None = None) -> int:
+    """A budget in characters from one of its two forms; a gigabyte is 1e9 characters."""
+    if (gigabytes is None) == (chars is None):
+        raise ValueError("give a budget either in gigabytes or in characters")
+    if (gigabytes if chars is None else chars) <= 0:
+        raise ValueError("a budget must be above 0")
+    return int(round(gigabytes * 1e9)) if chars is None else int(chars)
+
+
+def char_sums(df: DataFrame, group: str, text: str = "text") -> DataFrame:
+    """(group, docs, chars) of each group; a null text has none."""
+    return df.groupBy(group).agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.length(text).cast("long")), F.lit(0).cast("long")).alias("chars"))
+
+
 def ratio_budget(df: DataFrame, budget: int, seed: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents whose hash is below the share of the characters that the budget is; one pass for the total."""
     total = df.agg(F.sum(F.length(text)).cast("double")).first()[0] or 0.0
@@ -95,26 +140,126 @@ def rank_positions(df: DataFrame, seed: int, rank: int, world: int, id_col: str
     return placed.where((F.col("position") % world == rank) & (F.col("position") < whole))
 
 
-def budget_pick(df: DataFrame, budget: int, seed: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def ratio_budget_split(df: DataFrame, budget: int, keep_seed: int, split_seed: int, train: float, val: float, test: float, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """ratio_budget(), and the split of each document that is kept by a seed of its own."""
+    kept = ratio_budget(df, budget, keep_seed, id_col, text)
+    return kept.withColumn("split", split_of(hash_unit(split_seed, F.col(id_col)), train, val, test))
+
+
+#: Ranges of the hash over which sums run.
+RANGES = 1024
+
+
+def _running(df: DataFrame, value: str) -> DataFrame:
+    """df (h in 0..1, key, ...) with `upto`, the sum of `value` up to each row in the order of h and key: ranges of h are
+    summed apart, then the sums of the ranges, so no task sees all rows."""
+    cut = df.withColumn("__r", F.least(F.floor(F.col("h") * RANGES), F.lit(RANGES - 1)))
+    bases = cut.groupBy("__r").agg(F.sum(value).alias("__n"))
+    bases = bases.select("__r", (F.sum("__n").over(Window.orderBy("__r")) - F.col("__n")).alias("__base"))  # a row for each range
+    w = Window.partitionBy("__r").orderBy("h", "key").rowsBetween(Window.unboundedPreceding, 0)
+    return cut.join(bases, "__r").withColumn("upto", F.col("__base") + F.sum(value).over(w)).drop("__r", "__base")
+
+
+def budget_pick(df: DataFrame, budget: int, seed: int, id_col: str = "doc_id", text: str = "text", key: str | None = None) -> DataFrame:
     """(id, chars) of a fixed budget: by hash, take what fits, skip what doesn't, and add the smallest overshoot if that
-    comes closer; never empty. Slim rows (id, hash, chars) only, folded in one task, as each choice needs the last."""
-    import pandas as pd
+    comes closer; never empty. Rows are named by `key`, the id unless another column is given, which must be unique.
+
+    All up to the first document that doesn't fit is taken at once, by sums over ranges of the hash. What follows is
+    smaller than the rest of the budget or never fits, so a round sees fewer and smaller documents than the one before
+    it. The driver holds a few numbers for each round.
+    """
+    named = df.select(F.col(id_col), F.col(key or id_col).cast("string").alias("key"), F.length(text).cast("long").alias("chars"))
+    slim = named.select(id_col, "key", hash_unit(seed, F.col("key")).alias("h"), F.coalesce("chars", F.lit(0)).alias("chars"))
+    place, left, last, taken = F.struct("h", "key"), budget, None, F.lit(False)
+    while True:
+        after = slim if last is None else slim.where(place > last)
+        sums = _running(after.where(F.col("chars") <= left), "chars")
+        stop = sums.agg(F.min(F.when(F.col("upto") > left, place)).alias("s")).first()["s"]
+        # a document too large for the rest of the budget stops no one: it is skipped, as all like it are
+        fits = F.col("chars") <= left
+        if last is not None:
+            fits = fits & (place > last)
+        if stop is not None:
+            fits = fits & (place < F.struct(F.lit(stop["h"]).alias("h"), F.lit(stop["key"]).alias("key")))
+        taken = taken | fits
+        left -= slim.where(fits).agg(F.coalesce(F.sum("chars"), F.lit(0))).first()[0]
+        if stop is None:
+            break
+        last = F.struct(F.lit(stop["h"]).alias("h"), F.lit(stop["key"]).alias("key"))
+    over = slim.where(~taken).agg(F.min(F.struct("chars", "h", "key")).alias("o")).first()["o"]
+    if over is not None and (slim.where(taken).isEmpty() or over["chars"] - left < left):
+        taken = taken | (F.col("key") == F.lit(over["key"]))
+    return slim.where(taken).select(id_col, "chars")
+
+
+def budget_splits(df: DataFrame, budgets: dict[str, int], seed: int, id_col: str = "doc_id", text: str = "text", allow_smaller: bool = False) -> DataFrame:
+    """(id, chars, split): a fixed budget for val, then test, then train, each by a seed of its own and without the
+    documents that an earlier one has taken; ids must be unique."""
+    total = df.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0
+    enough(total, sum(budgets.values()), "characters", allow_smaller)
+    left, out = df, None
+    for name in [n for n in SPLIT_SEEDS if n in budgets]:
+        part = budget_pick(left, budgets[name], seed + SPLIT_SEEDS[name], id_col, text).withColumn("split", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+        left = left.join(part.select(id_col), id_col, "left_anti")
+    return out
+
+
+def excluded(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """df without the ids of another table."""
+    return df.join(ids.select(id_col).distinct(), id_col, "left_anti")
+
+
+def train_val_split(df: DataFrame, ratio: float, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
+    """df with `part`: the first int(n * ratio) rows in the order of the hash are train, the rest val."""
+    placed = global_index(df.withColumn("__h", hash_unit(seed, F.col(id_col))), "__h", id_col, name="__i").drop("__h")
+    return placed.withColumn("part", F.when(F.col("__i") < int(df.count() * ratio), "train").otherwise("val")).drop("__i")
+
+
+def resume_position(steps: int, batch: int, world: int, accumulate: int, length: int) -> dict[str, float]:
+    """Where training goes on after so many steps: samples seen, the place in the data, epochs done and the coverage in percent."""
+    if min(steps, batch, world, accumulate) < 0 or length < 1:
+        raise ValueError("steps and sizes are 0 or more, and there is some data")
+    seen = steps * batch * world * accumulate
+    return {"seen": seen, "position": seen % length, "epochs": seen // length, "coverage": 100.0 * seen / length}
+
+
+def sampler_state(seed: int, length: int, position: int) -> str:
+    return json.dumps({"seed": seed, "length": length, "position": position}, sort_keys=True)
+
+
+def restore_sampler(state: str, seed: int, length: int) -> int:
+    """The position of a saved state; seed and length must be those of now, ranks may have changed."""
+    got = json.loads(state)
+    if (got["seed"], got["length"]) != (seed, length):
+        raise ValueError(f"the state is of seed {got['seed']} and {got['length']} rows, not of {seed} and {length}")
+    return got["position"]
+
+
+def resumed_positions(df: DataFrame, seed: int, rank: int, world: int, start: int = 0, id_col: str = "doc_id") -> DataFrame:
+    """rank_positions() from the global place `start` on, round the end: `turn` is the place in the rank's own order."""
+    whole = df.count() // world * world
+    out = rank_positions(df, seed, rank, world, id_col)
+    ahead = F.pmod(F.col("position") - F.lit(start), F.lit(max(1, whole)))
+    return out.withColumn("turn", F.floor(ahead / world).cast("long"))
+
 
-    slim = df.select(id_col, hash_unit(seed, F.col(id_col)).alias("h"), F.length(text).cast("long").alias("chars"))
+def batches(df: DataFrame, size: int, position: str, rows: int, drop_last: bool = True) -> DataFrame:
+    """df with the number of its batch in the order of `position` (from 0, gapless, `rows` of them); an incomplete last
+    batch goes with `drop_last`."""
+    out = df.withColumn("batch", F.floor(F.col(position) / size).cast("long"))
+    return out.where(F.col("batch") < rows // size) if drop_last else out
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", id_col]).reset_index(drop=True)
-        taken, used, over = [], 0, None
-        for i, c in enumerate(pdf["chars"].tolist()):
-            if used + c <= budget:
-                taken.append(i)
-                used += c
-            elif over is None or c < pdf["chars"].iloc[over]:
-                over = i
-        if over is not None and (not taken or used + pdf["chars"].iloc[over] - budget < budget - used):
-            taken.append(over)
-        return pdf.iloc[taken][[id_col, "chars"]]
 
-    return slim.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(fold, f"{id_col} {df.schema[id_col].dataType.simpleString()}, chars long")
+def subsplit_report(df: DataFrame, split: str = "split", tokens: str = "tokens", text: str = "text", sample: int | None = None) -> DataFrame:
+    """(split, docs, bytes, gib, docs_seen, tokens, least, most, mean): tokens are counted over all rows, none (0) or the
+    first `sample` by hash; `tokens` is a column of numbers."""
+    size = F.octet_length(text).cast("long")
+    base = df.groupBy(split).agg(F.count("*").alias("docs"), F.sum(size).alias("bytes"))
+    some = df if sample is None else df.withColumn("__n", F.row_number().over(Window.partitionBy(split).orderBy(F.xxhash64(text), text))).where(F.col("__n") <= sample)
+    seen = some.groupBy(F.col(split).alias("__s")).agg(F.count("*").alias("docs_seen"), F.sum(tokens).alias("tokens"), F.min(tokens).alias("least"), F.max(tokens).alias("most"), F.avg(tokens).alias("mean"))
+    return base.join(seen, F.col(split) == F.col("__s"), "left").select(split, "docs", "bytes", gib(F.col("bytes")).alias("gib"), F.coalesce("docs_seen", F.lit(0)).alias("docs_seen"), "tokens", "least", "most", "mean")
 
 
+def gib(size: Column) -> Column:
+    return F.round(size / 1073741824, 4)

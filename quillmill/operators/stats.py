@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.rewriting import rewrite
 from .cleaning import count
 
 
@@ -46,6 +46,56 @@ def doc_stats(c: Column) -> dict[str, Column]:
     }
 
 
+def _parts(c: Column, unit: str, parts: Column, short: tuple[int, ...], long: tuple[int, ...], repeats: bool = True) -> dict[str, Column]:
+    """Number and mean length of the parts of a text, shares at most or at least so long, shares of parts and characters
+    that repeat an earlier part. An empty text is one empty part."""
+    n = F.greatest(F.size(parts), F.lit(1))
+    chars = lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + F.length(x))
+    out = {f"n_{unit}s": F.size(parts).cast("long"), f"avg_{unit}_length": chars(parts) / n}
+    out |= {f"short_{unit}_ratio_chars_{k}": _share_of(parts, n, k, True) for k in short}
+    out |= {f"long_{unit}_ratio_chars_{k}": _share_of(parts, n, k, False) for k in long}
+    if repeats:
+        out[f"{unit}_duplicates"] = (F.size(parts) - F.size(F.array_distinct(parts))) / n
+        out[f"{unit}_char_duplicates"] = (chars(parts) - chars(F.array_distinct(parts))) / F.greatest(F.length(c), F.lit(1))
+    return out
+
+
+def _share_of(parts: Column, n: Column, chars: int, short: bool) -> Column:
+    return F.size(F.filter(parts, lambda x: F.length(x) <= chars if short else F.length(x) >= chars)) / n
+
+
+def line_stats(c: Column, short: tuple[int, ...] = (10, 30), long: tuple[int, ...] = (2000, 10_000), ignore_empty: bool = False) -> dict[str, Column]:
+    lines = F.split(c, "\n", -1)
+    return _parts(c, "line", F.filter(lines, lambda x: F.length(x) > 0) if ignore_empty else lines, short, long)
+
+
+def paragraph_stats(c: Column, short: tuple[int, ...] = (100,), long: tuple[int, ...] = (1000,)) -> dict[str, Column]:
+    return _parts(c, "paragraph", F.split(c, "\n\n", -1), short, long)
+
+
+def sentence_stats(c: Column, short: tuple[int, ...] = (20,), long: tuple[int, ...] = (75,)) -> dict[str, Column]:
+    """Sentences end with a sign and white space; an approximation of what a parser of the language finds."""
+    ends = F.split(F.regexp_replace(c, r"([.!?])\s+", "$1\n"), "\n+", -1)
+    return _parts(c, "sentence", F.filter(ends, lambda x: F.length(x) > 0), short, long, repeats=False)
+
+
+def word_stats(c: Column) -> dict[str, Column]:
+    every = doc_stats(c)
+    return {k: every[k] for k in ("n_words", "type_token_ratio", "short_word_ratio", "long_word_ratio")}
+
+
+#: The groups of statistics by the name that a configuration has for them.
+MODULES = {"doc": char_quality, "word": word_stats, "line": line_stats, "paragraph": paragraph_stats, "sentence": sentence_stats}
+
+
+def selected_stats(c: Column, config: dict[str, dict]) -> dict[str, Column]:
+    """The columns of the modules that a configuration names, with its arguments; an unknown module is an error."""
+    unknown = set(config) - set(MODULES)
+    if unknown:
+        raise ValueError(f"no such statistics: {sorted(unknown)}; there are {sorted(MODULES)}")
+    return {k: v for name, options in config.items() for k, v in MODULES[name](c, **(options or {})).items()}
+
+
 def summary(df: DataFrame, metrics: list[str]) -> DataFrame:
     """A row for each metric: n, total, lowest, highest, mean, standard deviation."""
     pairs = ", ".join(f"'{m}', cast(`{m}` as double)" for m in metrics)
@@ -69,14 +119,26 @@ def score_report(df: DataFrame, score: str, threshold: float = rules.LANGUAGE_TH
 
 
 def with_token_count(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
-    """df with `n_tokens` by a tokenizer file of the tokenizers library, without special tokens; null for a null text."""
+    """df with `n_tokens` by a tokenizer file of the tokenizers library, without special tokens; null for a null text.
+    Texts go to the library a batch at a time, and nothing but them to Python."""
     known: list = []
 
-    def work(t: str) -> dict:
+    def count_(texts: pa.Array) -> pa.Array:
         if not known:
             from tokenizers import Tokenizer
 
             known.append(Tokenizer.from_file(tokenizer))
-        return {"text": t, "n_tokens": len(known[0].encode(t, add_special_tokens=False).ids)}
+        rows, out = texts.to_pylist(), []
+        for at in range(0, len(rows), 100):
+            out += [len(e.ids) for e in known[0].encode_batch([t or "" for t in rows[at : at + 100]], add_special_tokens=False)]
+        return pa.array([None if t is None else n for t, n in zip(rows, out, strict=True)], type=pa.int64())
+
+    return df.withColumn("n_tokens", F.arrow_udf(count_, "long")(F.col(text)))
 
-    return rewrite(df, text, work, "n_tokens long")
+
+def language_report(df: DataFrame, score: str, threshold: float = rules.LANGUAGE_THRESHOLD, id_col: str = "doc_id", n: int = 20) -> DataFrame:
+    """The `n` documents closest below the threshold and above it: (side, id, score); a missing score is 1."""
+    s = F.coalesce(F.col(score), F.lit(1.0))
+    rows = df.select(id_col, s.alias("score"))
+    below = rows.where(F.col("score") < threshold).orderBy(F.desc("score"), id_col).limit(n).withColumn("side", F.lit("removed"))
+    return below.unionByName(rows.where(F.col("score") >= threshold).orderBy("score", id_col).limit(n).withColumn("side", F.lit("kept")))

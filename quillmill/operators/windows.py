@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
+
 
 def stride(length: int, overlap: float) -> int:
     if not 0 <= overlap < 1 or length < 1:
@@ -39,3 +41,32 @@ def token_windows(df: DataFrame, tokens: str, length: int, overlap: float, min_l
     if pad is not None:
         window = F.concat(window, F.array_repeat(F.lit(pad), length - F.size(window)))
     return out.withColumn("end_pos", F.least(F.col("start_pos") + length, n)).withColumn("window", window)
+
+
+def normalize_window_text(c: Column) -> Column:
+    """No-break spaces and line ends as spaces, runs of white space as one, none at the ends."""
+    return F.btrim(F.regexp_replace(F.translate(c, "\u00a0\r\n", "   "), r"(?U)\s+", " "))
+
+
+def window_metrics(text: Column) -> dict[str, Column]:
+    """Shares of a window's characters that are punctuation, neither letters nor digits, and of its letters that are capitals."""
+    share = lambda p: F.regexp_count(text, F.lit(p)) / F.greatest(F.length(text), F.lit(1))
+    return {
+        "punctuation": share(rules.PUNCTUATION),
+        "non_alphanumeric": share(r"[^\p{L}\p{Nd}]"),
+        "uppercase": F.regexp_count(text, F.lit(r"\p{Lu}")) / F.greatest(F.regexp_count(text, F.lit(r"\p{L}")), F.lit(1)),
+    }
+
+
+def filter_windows(df: DataFrame, text: str, tokens: str, min_tokens: int = 530, min_chars: int = 800, max_punctuation: float = 0.20, max_non_alphanumeric: float = 0.35, max_uppercase: float = 0.15) -> DataFrame:
+    """Windows of at least so many tokens (the column `tokens` is a number) and characters whose shares are no higher;
+    the limits themselves pass. A null text goes."""
+    m = window_metrics(F.col(text))
+    enough = (F.col(tokens) >= min_tokens) & (F.length(text) >= min_chars)
+    return df.where(enough & (m["punctuation"] <= max_punctuation) & (m["non_alphanumeric"] <= max_non_alphanumeric) & (m["uppercase"] <= max_uppercase))
+
+
+def window_ids(df: DataFrame, id_col: str, file: str | None = None) -> DataFrame:
+    """df with `window_id`, {id}_window_{index}, and the metadata of a window: n_tokens and whether it is the last."""
+    last = F.col("window_idx") == F.max("window_idx").over(Window.partitionBy(id_col, *([file] if file else [])))
+    return df.withColumns({"window_id": F.concat_ws("_window_", F.col(id_col).cast("string"), F.col("window_idx").cast("string")), "n_tokens": F.size("window"), "is_last": last})

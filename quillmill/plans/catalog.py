@@ -106,22 +106,27 @@ def norm_change_flags(s, sf):
     return cleaning.whitespace_changes(_t(s, sf, "documents")).select("doc_id", "multiple_spaces", "multiple_newlines", "changed", "length_reduction")
 
 
-def _symbols() -> str:
-    """The normalised text and the number of matches, rule by rule."""
+def _symbol_tables(docs: str) -> tuple[str, str, str, str]:
+    """The tables of the symbol rules, rule by rule; the last one's name, its text, and the number of single signs."""
     found = []
     invisible = "[" + "".join(k for k, v in rules.SYMBOLS.items() if not v) + "]"
     steps = [(invisible, ""), *rules.CONTENTS.values(), (rules.MANY_DOTS, "..."), (rules.SPACED_DOTS, " ... ")]
-    ctes, last = ["s0 AS (SELECT doc_id, text AS raw, text AS t, 0 AS n FROM documents)"], 0
+    ctes = [f"s0 AS (SELECT doc_id, text AS raw, text AS t, 0 AS n FROM {docs})"]
     for i, (p, r) in enumerate(steps, 1):
         r = r.replace("$1", "\\1")
-        ctes.append(f"s{i} AS (SELECT doc_id, raw, regexp_replace(t, {_q(p)}, {_q(r)}, 'g') AS t, n + len(regexp_extract_all(t, {_q(p)})) AS n FROM s{i - 1})")
-        last = i
+        ctes.append(f"s{i} AS (SELECT doc_id, raw, regexp_replace(t, {_q(p)}, '{r}', 'g') AS t, n + len(regexp_extract_all(t, {_q(p)})) AS n FROM s{i - 1})")
     text = "t"
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
     for k, v in (rules.LOOKALIKES | {k: v for k, v in rules.SYMBOLS.items() if v}).items():
-        text = f"replace({text}, {_q(k)}, {_q(v)})"
-        found.append(f"(length(t) - length(replace(t, {_q(k)}, ''))) // {len(k)}")
-    marks = " + ".join([*found, "length(t) - length(replace(t, '\"', ''))"])
-    return f"WITH {', '.join(ctes)} SELECT doc_id, {text} AS clean, CAST(CASE WHEN raw <> {text} THEN n + {marks} ELSE 0 END AS BIGINT) AS n FROM s{last}"
+        text = f"replace({text}, {quoted(k)}, {quoted(v)})"
+        found.append(f"(length(t) - length(replace(t, {quoted(k)}, ''))) // {len(k)}")
+    return ", ".join(ctes), f"s{len(steps)}", text, " + ".join([*found, "length(t) - length(replace(t, '\"', ''))"])
+
+
+def _symbols() -> str:
+    """The normalised text and the number of matches."""
+    ctes, last, text, marks = _symbol_tables("documents")
+    return f"WITH {ctes} SELECT doc_id, {text} AS clean, CAST(CASE WHEN raw <> {text} THEN n + {marks} ELSE 0 END AS BIGINT) AS n FROM {last}"
 
 
 @query("symbol_normalize", _symbols())
@@ -130,21 +135,26 @@ def symbol_normalize(s, sf):
     return _t(s, sf, "documents").select("doc_id", F.explode(F.array(both)).alias("s")).select("doc_id", F.col("s.text").alias("clean"), "s.n")
 
 
-_LINES = f"""WITH l AS (
+def _line_tables(docs: str, p: str = "") -> str:
+    """Tables {p}l, {p}f, {p}n and {p}r: the lines of a table's texts with what the line rules say of them."""
+    return f"""{p}l AS (
   SELECT doc_id, i, line, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS s, length(line) - length(replace(line, chr(9), '')) AS tabs
-  FROM (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT doc_id, CASE WHEN x[-1] = '' THEN x[:-2] ELSE x END AS ls FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)))
-), f AS (
+  FROM (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT doc_id, CASE WHEN x[-1] = '' THEN x[:-2] ELSE x END AS ls FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM {docs})))
+), {p}f AS (
   SELECT doc_id, i, s IN (lag(s, 1) OVER w, lag(s, 2) OVER w, lag(s, 3) OVER w, lag(s, 4) OVER w, lag(s, 5) OVER w) AS again
-  FROM l WHERE s <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)
-), n AS (
-  SELECT l.*, coalesce(f.again, false) AS again, coalesce(lag(tabs) OVER w, 0) >= 2 OR coalesce(lead(tabs) OVER w, 0) >= 2 AS beside, len(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> '')) AS words
-  FROM l LEFT JOIN f USING (doc_id, i) WINDOW w AS (PARTITION BY doc_id ORDER BY i)
-), r AS (
+  FROM {p}l WHERE s <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), {p}n AS (
+  SELECT {p}l.*, coalesce({p}f.again, false) AS again, coalesce(lag(tabs) OVER w, 0) >= 2 OR coalesce(lead(tabs) OVER w, 0) >= 2 AS beside, len(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> '')) AS words
+  FROM {p}l LEFT JOIN {p}f USING (doc_id, i) WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), {p}r AS (
   SELECT *, CASE WHEN s = '' THEN NULL WHEN again THEN 'repetition' WHEN tabs >= 2 AND beside THEN 'tabular'
     WHEN words <= 3 AND length(s) <= 15 AND regexp_matches(s, {_q(rules.SHORT_LINE)}) THEN 'short'
     WHEN regexp_matches(s, {_q(rules.METADATA_KEYWORDS)}) OR (words <= 8 AND regexp_matches(s, {_q(rules.METADATA_CODE)})) OR (regexp_matches(s, {_q(rules.METADATA_CAPS)}) AND length(replace(s, ' ', '')) < 8) THEN 'metadata'
-    WHEN regexp_matches(s, {_q(rules.COPYRIGHT)}) THEN 'copyright' END AS reason FROM n
-) """
+    WHEN regexp_matches(s, {_q(rules.COPYRIGHT)}) THEN 'copyright' END AS reason FROM {p}n
+)"""
+
+
+_LINES = f"WITH {_line_tables('documents')} "
 
 
 @query("line_reasons", _LINES + "SELECT doc_id, reason, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS chars FROM r WHERE reason IS NOT NULL GROUP BY doc_id, reason")
@@ -158,7 +168,11 @@ def fused_line_clean(s, sf):
     return _t(s, sf, "documents").select("doc_id", cleaning.clean_lines(F.col("text")).alias("text"))
 
 
-@query("figure_table_lines", _LINES + f"SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT (s <> '' AND (regexp_matches(s, {_q(rules.CAPTION)}) OR (NOT regexp_matches(s, {_q(rules.MATHS)}) AND words BETWEEN 2 AND 5 AND len(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: regexp_matches(w, {_q(rules.NUMERIC_WORD)}))) >= 0.6 * words)))), '') AS text FROM r GROUP BY doc_id")
+#: A caption, or a short line of numbers without mathematics.
+_CAPTION = f"s <> '' AND (regexp_matches(s, {_q(rules.CAPTION)}) OR (NOT regexp_matches(s, {_q(rules.MATHS)}) AND words BETWEEN 2 AND 5 AND len(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: regexp_matches(w, {_q(rules.NUMERIC_WORD)}))) >= 0.6 * words))"
+
+
+@query("figure_table_lines", _LINES + f"SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT ({_CAPTION})), '') AS text FROM r GROUP BY doc_id")
 def figure_table_lines(s, sf):
     return _t(s, sf, "documents").select("doc_id", cleaning.figure_lines(F.col("text")).alias("text"))
 
@@ -197,7 +211,15 @@ def appendix_sections(s, sf):
     return sections.drop_sections(_t(s, sf, "documents").select("doc_id", "text")).select("doc_id", "text", F.size("sections").alias("n_sections"))
 
 
-@query("repetition_clean")
+@query("repetition_clean", """WITH RECURSIVE l AS (
+  SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, CASE WHEN x[-1] = '' THEN x[:-2] ELSE x END AS ls FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))
+), m AS (SELECT *, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS s FROM l), f AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS held, false AS goes, CAST('' AS VARCHAR) AS line FROM documents
+  UNION ALL
+  SELECT m.doc_id, m.i, CASE WHEN m.s = '' OR list_contains(f.held, m.s) THEN f.held ELSE list_append(f.held, m.s)[-5:] END,
+    m.s <> '' AND list_contains(f.held, m.s) AND NOT regexp_matches(m.s, '^\\[DEBUG:.*\\]$'), m.line
+  FROM f JOIN m ON m.doc_id = f.doc_id AND m.i = f.i + 1
+) SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (i > 0 AND NOT goes), '') AS text FROM f GROUP BY doc_id""")
 def repetition_clean(s, sf):
     return sections.drop_repeats(_t(s, sf, "documents").select("doc_id", "text"))
 
@@ -207,7 +229,17 @@ def corpus_clean(s, sf):
     return corpus_cleaning.clean_corpus(_t(s, sf, "documents")).select("doc_id", "text")
 
 
-@query("clean_summary")
+def _clean_summary() -> str:
+    """The whole chain of columns, step by step."""
+    ctes, last, text, _ = _symbol_tables("fig")
+    chain = f"raw AS (SELECT doc_id, {_removed(rules.ARTEFACTS | rules.CITATIONS)} AS text FROM documents), {_line_tables('raw', 'a')}, "
+    chain += "kept AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (reason IS NULL), '') AS text FROM ar GROUP BY doc_id), "
+    chain += f"{_line_tables('kept', 'b')}, fig AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT ({_CAPTION})), '') AS text FROM bn GROUP BY doc_id), "
+    chain += f"{ctes}, sym AS (SELECT doc_id, {text} AS text FROM {last}), done AS (SELECT doc_id, {_WS} AS text FROM sym WHERE length({_WS}) > 0) "
+    return f"WITH {chain} SELECT lang, count(*) AS docs, CAST(sum(length(documents.text)) AS BIGINT) AS chars_before, CAST(sum(length(done.text)) AS BIGINT) AS chars_after FROM done JOIN documents USING (doc_id) GROUP BY lang"
+
+
+@query("clean_summary", _clean_summary())
 def clean_summary(s, sf):
     docs = _t(s, sf, "documents").withColumn("before", F.length("text"))
     return cleaning.clean_documents(docs).groupBy("lang").agg(F.count("*").alias("docs"), F.sum("before").alias("chars_before"), F.sum(F.length("text")).alias("chars_after"))
@@ -333,7 +365,16 @@ def char_budget_ratio(s, sf):
     return splits.ratio_budget(_t(s, sf, "documents"), 100_000, 9).select("doc_id")
 
 
-@query("char_budget_fixed")
+def _fold(docs: str, budget: int, seed: int, p: str = "") -> str:
+    """Tables {p}o, {p}f and {p}picked: a fixed budget as it is told, one document after the other."""
+    return f"""{p}o AS (SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, row_number() OVER (ORDER BY {_unit(str(seed), 'doc_id')}, CAST(doc_id AS VARCHAR)) AS i FROM {docs}),
+{p}f AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS used, false AS took UNION ALL SELECT {p}o.i, CASE WHEN used + chars <= {budget} THEN used + chars ELSE used END, used + chars <= {budget} FROM {p}f JOIN {p}o ON {p}o.i = {p}f.i + 1),
+{p}over AS (SELECT {p}o.* FROM {p}o JOIN {p}f USING (i) WHERE NOT took ORDER BY chars, i LIMIT 1),
+{p}picked AS (SELECT doc_id, chars FROM {p}o JOIN {p}f USING (i) WHERE took UNION ALL
+  SELECT doc_id, chars FROM {p}over WHERE (SELECT count(*) FROM {p}f WHERE took) = 0 OR (SELECT max(used) FROM {p}f) + chars - {budget} < {budget} - (SELECT max(used) FROM {p}f))"""
+
+
+@query("char_budget_fixed", f"WITH RECURSIVE {_fold('documents', 100_000, 11)} SELECT * FROM picked")
 def char_budget_fixed(s, sf):
     return splits.budget_pick(_t(s, sf, "documents"), 100_000, 11)
 
@@ -447,3 +488,6 @@ def token_count_summary(s, sf):
 
     docs = stats.with_token_count(_t(s, sf, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return stats.summary(docs, ["n_tokens"])
+
+
+from . import more  # noqa: E402, F401  registers its queries here
