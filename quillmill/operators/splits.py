@@ -171,6 +171,7 @@ def budget_pick(df: DataFrame, budget: int, seed: int, id_col: str = "doc_id", t
     named = df.select(F.col(id_col), F.col(key or id_col).cast("string").alias("key"), F.length(text).cast("long").alias("chars"))
     slim = named.select(id_col, "key", hash_unit(seed, F.col("key")).alias("h"), F.coalesce("chars", F.lit(0)).alias("chars"))
     place, left, last, taken = F.struct("h", "key"), budget, None, F.lit(False)
+    slim = slim.persist()  # numbers and ids: the texts are read once
     while True:
         after = slim if last is None else slim.where(place > last)
         sums = _running(after.where(F.col("chars") <= left), "chars")
@@ -189,6 +190,7 @@ def budget_pick(df: DataFrame, budget: int, seed: int, id_col: str = "doc_id", t
     over = slim.where(~taken).agg(F.min(F.struct("chars", "h", "key")).alias("o")).first()["o"]
     if over is not None and (slim.where(taken).isEmpty() or over["chars"] - left < left):
         taken = taken | (F.col("key") == F.lit(over["key"]))
+    slim.unpersist()
     return slim.where(taken).select(id_col, "chars")
 
 
