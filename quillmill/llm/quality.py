@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.corpus import spread
 from .common import encoded, fitted, fresh, held_out, map_arrow, table
 from .learn import Adam, sample_rows, sigmoid, texts_and_labels
 
@@ -230,7 +231,7 @@ def score_quality(docs: DataFrame, model: Machine, keep: list[str] | None = None
 def op6_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_model(sample_rows(docs, table(spark, sf_dir, "labels"), "quality"))
-    scored = score_quality(docs, model)
+    scored = score_quality(spread(docs), model)
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (scored.score >= THRESHOLD).cast("int").alias("predicted"))
 
 

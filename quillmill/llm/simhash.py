@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.corpus import spread
 from .common import LocalForest, Notes, discard, encoded, group_slices, located, map_arrow, materialize, table, whole_groups
 from .components import connected_components
 from .trie import trie_self_join
@@ -405,7 +406,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op1_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash_components(table(spark, sf_dir, "documents"))
+    found = simhash_components(spread(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

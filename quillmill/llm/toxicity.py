@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.corpus import spread
 from .common import encoded, fitted, held_out, map_arrow, table
 from .learn import Adam, sample_rows, sigmoid, texts_and_labels
 
@@ -328,7 +329,7 @@ def score_toxicity(docs: DataFrame, model: Tagger) -> DataFrame:
 def op2_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_model(sample_rows(docs, table(spark, sf_dir, "labels"), "toxic"))
-    scored = score_toxicity(docs, model)
+    scored = score_toxicity(spread(docs), model)
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (scored.score >= 0.5).cast("int").alias("predicted"), "spans")
 
 
