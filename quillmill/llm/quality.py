@@ -111,6 +111,15 @@ class Rows:
         parts = zip(texts, split, np.split(places, cut), np.split(three[:, 2], cut), recorded, strict=True)
         self.stats = np.array([_stats(t, s, p, d, np.log1p(len(t.decode(errors="replace")) if r is None else max(r, 0))) for t, s, p, d, r in parts]).reshape(len(texts), len(STATS))
 
+    @classmethod
+    def of(cls, texts: list[bytes], vocabulary: Vocabulary, at_once: int = 200) -> Rows:
+        """Many texts, some at a time, so that the words of a few are held at once."""
+        parts = [cls(texts[k : k + at_once], [None] * len(texts[k : k + at_once]), vocabulary) for k in range(0, len(texts), at_once)]
+        out = cls.__new__(cls)
+        out.row = np.concatenate([p.row + k * at_once for k, p in enumerate(parts)])
+        out.feature, out.value, out.stats = (np.concatenate([getattr(p, a) for p in parts]) for a in ("feature", "value", "stats"))
+        return out
+
     def with_bins(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, feature, value) with one feature for the bin of each statistic."""
         n = len(self.stats)
@@ -161,7 +170,7 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = 10, batch: int = 200) -
     if not 0 < y.sum() < len(y):
         model.vector[:] = 0
         return model
-    rows = Rows(texts, [None] * len(texts), Vocabulary())
+    rows = Rows.of(texts, Vocabulary())
     model.edges = np.quantile(rows.stats, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T.copy()
     # the ends of a statistic tell most: an edge close to each end
     model.edges[:, 0], model.edges[:, -1] = np.quantile(rows.stats, 0.03, axis=0), np.quantile(rows.stats, 0.97, axis=0)

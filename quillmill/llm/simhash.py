@@ -31,7 +31,7 @@ from .trie import trie_self_join
 #: Codes that a task joins at once, at least.
 ROWS = 300_000
 #: Word types that a worker remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Shingles hashed at once, which bounds what a very long text needs.
 PIECE = 1 << 15
 #: Probability that a pair at the similarity shares a table; bits that may differ there; least bits, and bits beyond

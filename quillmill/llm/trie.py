@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Node pairs held at one level, and leaf pairs handed out at once.
-FRONTIER, PAIRS = 1 << 20, 1 << 20
+FRONTIER, PAIRS = 1 << 18, 1 << 18
 #: Nodes of so few codes are compared directly.
 SMALL = 3
 
