@@ -177,6 +177,7 @@ def with_order_key(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def op7_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's part in the mix, by the time of its first copy; see curriculum_mix() for odd rows."""
     docs = with_order_key(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
     mixed = curriculum_mix(docs).withColumn("first_due", F.round(F.get("positions", F.lit(0)), 9))
     sort = mixed.repartitionByRange(F.col("first_due").asc_nulls_last(), "order_key").sortWithinPartitions(F.col("first_due").asc_nulls_last(), "order_key")

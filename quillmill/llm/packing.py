@@ -94,6 +94,7 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, en
 
 
 def op9_concat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document; see pack() for odd rows."""
     return pack(table(spark, sf_dir, "documents"))
 
 

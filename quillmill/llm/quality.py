@@ -238,6 +238,7 @@ def score_quality(docs: DataFrame, model: Machine, keep: list[str] | None = None
 
 
 def op6_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score; see score_quality() and sample_rows() for odd rows."""
     docs = table(spark, sf_dir, "documents")
     model = fit_model(sample_rows(docs, table(spark, sf_dir, "labels"), "quality"))
     scored = score_quality(spread(docs), model)

@@ -175,6 +175,7 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 
 def op4_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's spans; see scan_secrets() for odd rows."""
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), parts=True).drop("text")
     base = F.filter("secrets", lambda s: s["rank"] < 3)
 

@@ -406,6 +406,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op1_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component; see simhash_components() for odd rows."""
     found = simhash_components(spread(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -171,6 +171,7 @@ def read_token_files(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
 
 
 def op3_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the files have it; see write_token_files() for odd rows."""
     docs = table(spark, sf_dir, "documents")
     return read_token_files(write_token_files(docs, scratch_path(spark, "sequences")), docs.schema["doc_id"].dataType.simpleString())
 

@@ -327,6 +327,7 @@ def score_toxicity(docs: DataFrame, model: Tagger) -> DataFrame:
 
 
 def op2_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score and toxic spans; see score_toxicity() and sample_rows() for odd rows."""
     docs = table(spark, sf_dir, "documents")
     model = fit_model(sample_rows(docs, table(spark, sf_dir, "labels"), "toxic"))
     scored = score_toxicity(spread(docs), model)

@@ -124,3 +124,42 @@ def test_every_order_is_likely(spark):
     df = spark.range(0, 400, 1, 8).withColumnRenamed("id", "doc_id")
     place = np.array([[r.shard for r in sorted(uniform_shards(df, 4, seed).collect())] for seed in range(12)])
     assert abs(np.mean(place[:, :200] == place[:, 200:]) - 0.25) < 0.04
+
+
+def test_shards_against_a_plain_version(spark, tmp_path):
+    from quillmill.llm.common import located
+    from quillmill.llm.sharding import _cells
+
+    spark.range(0, 700, 1, 5).withColumnRenamed("id", "doc_id").write.parquet(f"file://{tmp_path}/d")
+    df = spark.read.parquet(f"file://{tmp_path}/d")
+    placed, path, row = located(df)
+    files = defaultdict(list)
+    for r in placed.collect():
+        files[r[path]].append((r[row], r.doc_id))
+    cells = _cells(700, 4, 2)
+    matrix = communication_matrix(np.array([len(files[p]) for p in sorted(files)]), cells, 9)
+    ranges = defaultdict(list)
+    for k, p in enumerate(sorted(files)):
+        rng = np.random.Generator(np.random.Philox(key=[9, (1 << 62) + k]))
+        cell = rng.permutation(np.repeat(np.arange(8, dtype=np.int32), matrix[k]))
+        key = rng.integers(0, 2**63 - 1, len(cell), dtype=np.int64)
+        for at, i in files[p]:
+            ranges[int(cell[at])].append((int(key[at]), p, at, i))
+    want, first = {}, np.r_[0, np.cumsum(cells)]
+    for c, members in ranges.items():
+        for rank, (*_, i) in enumerate(sorted(members)):
+            shard = c // 2
+            want[i] = (shard, int(first[c] - first[2 * shard]) + rank)
+    assert {r.doc_id: (r.shard, r.slot) for r in uniform_shards(df, 4, 9, cells=8).collect()} == want
+
+
+def test_large_populations_follow_the_law():
+    from quillmill.llm.sharding import _hypergeometric
+
+    rng = np.random.default_rng(3)
+    good, bad, n = 3 * 10**9, 7 * 10**9, 10**6
+    got = np.array([_hypergeometric(rng, good, bad, n) for _ in range(400)])
+    sd = math.sqrt(n * 0.3 * 0.7)
+    assert abs(got.mean() - 0.3 * n) < 5 * sd / 20 and 0.85 < got.std() / sd < 1.15
+    m = communication_matrix(np.array([10**9, 2 * 10**9]), np.array([15 * 10**8, 5 * 10**8, 10**9]), 4)
+    assert m.sum(axis=1).tolist() == [10**9, 2 * 10**9] and m.sum(axis=0).tolist() == [15 * 10**8, 5 * 10**8, 10**9]
