@@ -18,8 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 #: A word, wherever one is counted: a run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of one Arrow batch at most, so that a batch of long texts stays small.
-BATCH_ROWS = 400
+#: Rows and bytes of one Arrow batch at most, so that a batch of long texts stays small.
+BATCH_ROWS, BATCH_BYTES = 400, 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,11 +87,12 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch; a lower setting of the session's own stays."""
+    """Bound the rows and bytes of an Arrow batch; a lower number of rows of the session's own stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -29,7 +29,7 @@ from .components import connected_components
 from .trie import trie_self_join
 
 #: Codes that a task joins at once, at least.
-ROWS = 300_000
+ROWS = 150_000
 #: Word types that a worker remembers at most.
 REMEMBERED = 200_000
 #: Shingles hashed at once, which bounds what a very long text needs.
