@@ -17,6 +17,12 @@ PATTERNS = {
     "ref_number": r"(?i)\b(?:ref|refs)\.?\s*\d+(?:,\s*\d+)*(?:-\s*\d+)?\b",
     "page_references": r"(?i)(?:^|\s)(?:p|pp|page|pages)\.?\s*\d+(?:-\d+)?(?:,\s*\d+(?:-\d+)?)*(?=\s|$)",
 }
+#: What a text must hold, in small letters, for a pattern to match at all.
+NEEDS = {
+    "semicolon_blocks": ";", "square_numeric": "[", "consecutive_numeric": "(", "isolated_numeric": "(",
+    "author_year_multi": ";", "author_year_single": "(", "author_year_square_single": "[", "author_year_square_multi": ";",
+    "ref_number": "ref", "page_references": "p",
+}
 #: A list of names by semicolons holds none of these.
 STOPWORDS = frozenset(
     "the and or but in on at to for of with by "

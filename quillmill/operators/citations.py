@@ -109,8 +109,10 @@ def scan(text: str, replacement: str = "", legacy: bool = False, validate: bool
     for name, p in rules.ARTEFACTS.items():
         some = any(x in left for x in rules.LITERALS[name])
         left, artefacts[name] = re.subn(p, lambda _: replacement, left) if some else (left, 0)
-    found, spans = [], []
+    found, spans, low = [], [], left.lower()
     for kind, p in (patterns or fixed.PATTERNS).items():
+        if not patterns and fixed.NEEDS[kind] not in low:
+            continue
         for m in re.finditer(p, left):
             start, end = m.span()
             seen = text[max(0, start - 50) : end + 50] if legacy else left

@@ -177,8 +177,15 @@ def figure_table_lines(s, sf):
     return _t(s, sf, "documents").select("doc_id", cleaning.figure_lines(F.col("text")).alias("text"))
 
 
-def _scan(s, sf, **options) -> DataFrame:
-    return citations.scan_citations(_t(s, sf, "documents").select("doc_id", "text"), **options)
+def _cited(s, sf) -> DataFrame:
+    """The documents, with lines at their ends that hold citations of each verdict, as the invented prose has few."""
+    n = F.pmod("doc_id", F.lit(90)).cast("string")
+    lines = F.concat(F.lit("\nas in ref "), n, F.lit(" the\nAnn; Bob; the\nits page "), n, F.lit(" is one\nso:\n("), n, F.lit(") one"))
+    return _t(s, sf, "documents").select("doc_id", F.concat("text", lines).alias("text"))
+
+
+def _scan(s, sf, docs: DataFrame | None = None, **options) -> DataFrame:
+    return citations.scan_citations(_t(s, sf, "documents").select("doc_id", "text") if docs is None else docs, **options)
 
 
 @query("citation_validated")
@@ -198,7 +205,7 @@ def citation_precision(s, sf):
 
 @query("citation_rejections")
 def citation_rejections(s, sf):
-    return citations.rejected_samples(_scan(s, sf))
+    return citations.rejected_samples(_scan(s, sf, _cited(s, sf)))
 
 
 @query("citation_document_totals")

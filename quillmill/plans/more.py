@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import cleaning, evals, spans, splits, stats, windows
+from ..operators import cleaning, evals, spans, splits, stages, stats, windows
 from ..sources import corpus
 from .catalog import _EV, _LINES, D, _ev, _fold, _found, _q, _SPLIT, _split, _t, _tokens, _unit, query
 
@@ -312,3 +312,33 @@ def eval_fuzzy(s, sf):
 def span_utilisation(s, sf):
     ids = _tokens(s, sf).select("doc_id", F.transform("tokens", lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(30_000)).cast("int") + 2).alias("ids"))
     return _rounded(spans.utilisation(spans.corrupted_windows(ids, "doc_id", "ids", 32_100)))
+
+
+@query("stage_chain", "SELECT doc_id, upper(text) AS text FROM documents WHERE length(text) >= 500 AND lang <> 'de'")
+def stage_chain(s, sf):
+    config = {"keep": {"test": (F.length("text") >= 500) & (F.col("lang") != "de")}, "column": {"rule": F.upper}, "cleaner": None}
+    return stages.built(config)(_docs(s, sf)).select("doc_id", "text")
+
+
+def _first_line(text: str) -> tuple[str, dict]:
+    if not text:
+        raise ValueError("no text")
+    return text.split("\n", 1)[0], {"n_lines": text.count("\n") + 1}
+
+
+def _by_words(rows, part):
+    for r in rows:
+        for at, word in enumerate(r["text"].split(" ")):
+            if word:
+                yield {"doc_id": r["doc_id"], "place": at, "word": word}
+
+
+@query("stage_cleaner", "SELECT doc_id, CASE WHEN text <> '' THEN string_split(text, chr(10))[1] END AS text, CASE WHEN text <> '' THEN CAST(len(string_split(text, chr(10))) AS BIGINT) END AS n_lines, CASE WHEN text = '' THEN 'ValueError: no text' END AS error FROM documents WHERE n_chars % 2 = 1")
+def stage_cleaner(s, sf):
+    odd = stages.filter_stage(lambda r: (r["n_chars"] or 0) % 2 == 1, ["n_chars"])
+    return stages.chain(odd, stages.cleaner_stage(_first_line, "n_lines long", errors="error"))(_docs(s, sf)).select("doc_id", "text", "n_lines", "error")
+
+
+@query("stage_steps", "SELECT doc_id, CAST(i - 1 AS INTEGER) AS place, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)) WHERE w[i] <> ''")
+def stage_steps(s, sf):
+    return stages.step_stage(_by_words, "doc_id long, place int, word string")(_docs(s, sf).select("doc_id", F.coalesce("text", F.lit("")).alias("text")))

@@ -96,3 +96,12 @@ def test_contents_and_lookalikes(spark):
 def test_whole_chain(spark):
     df = spark.createDataFrame([(1, "Good prose (Smith, 2020) here.\nTable 3: x\n© all", 0.9), (2, "low", 0.1), (3, None, None), (4, "http://a.b", None)], "doc_id long, text string, score double")
     assert [tuple(r) for r in corpus_cleaning.clean_corpus(df, score="score").collect()] == [(1, "Good prose here.", 0.9)]
+
+
+def test_what_a_pattern_needs():
+    from quillmill.functions import citations as fixed
+
+    texts = ["A; B", "[1, 2]", "(1)(2)", "x (3)", "(Ann, 2020; Bob, 2021)", "(Ann, 2020)", "[Ann, 2020]", "[Ann, 2020; Bob, 2021]", "REF 3", "P. 4"]
+    for kind, text in zip(fixed.PATTERNS, texts, strict=True):
+        assert fixed.NEEDS[kind] in text.lower() and kind in [m["type"] for m in citations.scan(text)["matches"]]
+        assert [m["type"] for m in citations.scan(text)["matches"]] == [m["type"] for m in citations.scan(text, patterns=dict(fixed.PATTERNS))["matches"]]
