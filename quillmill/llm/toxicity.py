@@ -25,9 +25,11 @@ WORD_BITS, SIDE_BITS = 14, 12
 BLOCK = 128
 #: Lengths of a word's beginnings, in bytes.
 HEADS = (4, 5)
-#: Distinct contexts, and share of the toxic documents, that a word type needs to be evidence; its rate among toxic
-#: documents over that among others.
-CONTEXTS, SHARE, RATIO = 4, 0.02, 20.0
+#: Distinct contexts that a word type needs to be evidence, its rate among toxic documents over that among others, and
+#: types that pass by chance, on average, among all.
+CONTEXTS, RATIO, BY_CHANCE = 4, 20.0, 0.1
+#: Contexts of a type that are held at most, as a share of the documents.
+HELD = 0.02
 #: Word types that a worker remembers at most, and words of a batch scanned at once.
 REMEMBERED, WORDS = 400_000, 1 << 20
 
@@ -204,7 +206,13 @@ def _chain_emissions(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def evidence(texts: list[bytes], y: np.ndarray) -> set[bytes]:
-    """Word types, and beginnings after a ^, that mark toxic documents."""
+    """Word types, and beginnings after a ^, that mark toxic documents.
+
+    A type that has nothing to do with toxicity stands in a toxic document as often as documents are toxic. It is evidence
+    if that is refuted by the bound on the tail of a binomial (exp of -n times the divergence of the rates) for all types
+    at once, so a rare mark is as good as a frequent one, however many marks there are. Documents count as often as there
+    are distinct contexts, so copies of one passage are no evidence.
+    """
     contexts: dict[bytes, set] = defaultdict(set)
     toxic, clean = Counter(), Counter()
     for t, label in zip(texts, y.tolist(), strict=True):
@@ -214,11 +222,19 @@ def evidence(texts: list[bytes], y: np.ndarray) -> set[bytes]:
         if label:
             for a, b, c in zip([b"", *w], w, [*w[1:], b""], strict=False):
                 for key in (b, *_heads(b)):
-                    if len(contexts[key]) < 4 * CONTEXTS + len(texts) * SHARE:
+                    if len(contexts[key]) < 4 * CONTEXTS + len(texts) * HELD:
                         contexts[key].add((a, c))
     n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    need = max(CONTEXTS, SHARE * n1)
-    return {w for w, k in toxic.items() if k >= max(3, SHARE * n1) and len(contexts[w]) >= need and k / n1 >= RATIO * (clean[w] + 0.1) / n0}
+    rate, need = n1 / (n1 + n0), np.log(max(1, len(toxic)) / BY_CHANCE)
+
+    def marks(w: bytes, k: int) -> bool:
+        if len(contexts[w]) < CONTEXTS or k / n1 < RATIO * (clean[w] + 0.1) / n0:
+            return False
+        some, none = min(k, len(contexts[w])), clean[w]
+        own = some / (some + none)
+        return own > rate and some * np.log(own / rate) + (none * np.log((1 - own) / (1 - rate)) if none else 0.0) >= need
+
+    return {w for w, k in toxic.items() if marks(w, k)}
 
 
 def fit(texts: list[bytes], y: np.ndarray, rounds: int = 40, docs: int = 1600) -> Tagger:

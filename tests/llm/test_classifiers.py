@@ -113,3 +113,24 @@ def test_nothing_to_learn_from_and_empty_tables(spark):
         assert score(none, model).count() == 0
         got = score(spark.createDataFrame([(1, "a b", 3)], "doc_id long, text string, n_chars long"), model).collect()[0].score
         assert got < 1e-6 if module is toxicity else got == 0.5
+
+
+def test_many_rare_marks_and_copies_of_a_passage():
+    rng = np.random.default_rng(1)
+    common = 1 / np.arange(1, 5001)
+    texts, y = [], []
+    for k in range(6000):
+        words = [f"w{x}x" for x in rng.choice(5000, 60, p=common / common.sum())]
+        if k % 6 == 0:
+            for at in rng.choice(60, 2, replace=False):
+                words[at] = f"q{rng.integers(100)}zzt"  # each in about 2% of the toxic documents
+        texts.append(" ".join(words).encode())
+        y.append(int(k % 6 == 0))
+    copied = " ".join(f"copy{i}end" for i in range(50)).encode()
+    texts[6:600:6] = [copied] * 99
+    found = toxicity.evidence(texts[:4800], np.array(y[:4800]))
+    marks = {w for w in found if not w.startswith(b"^")}
+    assert sum(w.startswith(b"q") for w in marks) >= 90 and not any(w.startswith(b"copy") for w in marks) and sum(w.startswith(b"w") for w in marks) <= 1
+    model = toxicity.fit(texts[:4800], np.array(y[:4800]))
+    guess = model.score(model.tag(texts[4800:])) >= 0.5
+    assert np.mean(guess == y[4800:]) >= 0.95
