@@ -115,17 +115,19 @@ def ratio_budget(df: DataFrame, budget: int, seed: int, id_col: str = "doc_id",
 
 
 def global_index(df: DataFrame, *keys: str, partitions: int | None = None, name: str = "global_idx") -> DataFrame:
-    """df with each row's place in the order of `keys`, from 0: ranges are sorted apart and counted, so no task sees all."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
-    counts = {r["__p"]: r["count"] for r in dealt.groupBy("__p").count().collect()}  # a number for each partition
-    before, at = [], 0
-    for p in range(n):
-        before.append(at)
-        at += counts.get(p, 0)
-    base = F.element_at(F.array(*map(F.lit, before)), F.col("__p") + 1)
-    return dealt.withColumn(name, (base + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("__p", "__m")
+    """df with each row's place in the order of `keys`, from 0, nulls last: ranges are counted and sorted apart, so no task
+    sees all. Spark cuts the ranges of each range shuffle anew, from a sample; so one shuffle of the keys alone tells the
+    ranges by their least keys and their counts, and rows are put into them by comparing, never by a partition's number."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(x for k in keys for x in (F.col(k).isNull(), F.col(k)))])
+    dealt = df.select(key.alias("least")).repartitionByRange(n, "least").withColumn("p", F.spark_partition_id())
+    ranges = dealt.groupBy("p").agg(F.min("least").alias("least"), F.count("*").alias("n"))  # a row for each partition
+    ranges = ranges.select(F.struct("least", (F.sum("n").over(Window.orderBy("least")) - F.col("n")).alias("before")).alias("r"))
+    table, steps = F.col("__t"), F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
+    at = F.aggregate(steps, F.lit(0), lambda lo, s: F.when(F.get(table, lo + s)["least"] <= key, lo + s).otherwise(lo))
+    placed = df.withColumn("__t", ranges.agg(F.array_sort(F.collect_list("r"))).scalar()).withColumn("__base", F.get(table, at)["before"]).drop("__t")
+    own = F.row_number().over(Window.partitionBy("__base").orderBy(*[F.col(k).asc_nulls_last() for k in keys]))
+    return placed.withColumn(name, (F.col("__base") + own - 1).cast("long")).drop("__base")
 
 
 def shard_of(index: Column, shards: int) -> Column:
