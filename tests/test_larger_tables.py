@@ -26,6 +26,6 @@ def same(spark, name, path):
     assert sorted(map(tuple, df.collect()), key=key) == sorted(want, key=key)
 
 
-@pytest.mark.parametrize("name", ["shard_assign"])
+@pytest.mark.parametrize("name", ["shard_assign", "rank_stride"])
 def test_places_in_a_larger_table(spark, large, name):
     same(spark, name, large)
