@@ -140,8 +140,8 @@ def train_val_split(s, sf):
 
 @query("resumed_positions", f"SELECT doc_id, position, CAST(floor((((position - 48) % m) + m) % m / 4) AS BIGINT) AS turn FROM (SELECT doc_id, row_number() OVER (ORDER BY {_unit('3', 'doc_id')}, doc_id) - 1 AS position, count(*) OVER () // 4 * 4 AS m FROM documents) WHERE position % 4 = 1 AND position < m")
 def resumed_positions(s, sf):
-    length = _docs(s, sf).count()
-    start = splits.restore_sampler(splits.sampler_state(3, length, splits.resume_position(3, 4, 4, 1, length)["position"]), 3, length)
+    length = _docs(s, sf).count() // 4 * 4  # what the ranks go round: the incomplete last round is dropped
+    start = 0 if not length else splits.restore_sampler(splits.sampler_state(3, length, splits.resume_position(3, 4, 4, 1, length)["position"]), 3, length)
     return splits.resumed_positions(_docs(s, sf).select("doc_id"), 3, 1, 4, start)
 
 

@@ -26,6 +26,12 @@ def same(spark, name, path):
     assert sorted(map(tuple, df.collect()), key=key) == sorted(want, key=key)
 
 
-@pytest.mark.parametrize("name", ["shard_assign", "rank_stride"])
+@pytest.mark.parametrize("name", ["shard_assign", "rank_stride", "resumed_positions"])
 def test_places_in_a_larger_table(spark, large, name):
     same(spark, name, large)
+
+
+@pytest.mark.parametrize("rows", [0, 3, 31, 47, 50])
+def test_resuming_in_a_table_shorter_than_what_was_seen(spark, tmp_path, rows):
+    spark.range(rows).select(F.col("id").alias("doc_id"), F.lit("a").alias("text")).write.parquet(f"file://{tmp_path}/documents.parquet")
+    same(spark, "resumed_positions", str(tmp_path))
