@@ -56,6 +56,10 @@ CONTENTS = {
     "only_numbers": (r"\A[\p{Nd}." + _S + r"]{20,}\z", ""),
     "tab_separated": (r"\A[^\n\t]*\t[^\n\t]*\t[^\n\t]*\t[^\n]*(\n?)\z", "$1"),
 }
+#: Letters whose capital Spark writes as several signs, or knows by a newer Unicode than DuckDB, with the one sign that
+#: takes their place in DuckDB's upper(): a capital or title letter, or themselves.
+UPPER = {c: "\u1e9e" if c == "\xdf" else c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x80, 0xFB18)) if len(c.upper()) > 1}
+UPPER |= {chr(i): chr(i) for i in (0x19B, 0x264, 0x1C8A, 0xA7CD, 0xA7DB, *range(0x10D70, 0x10D86))}
 SPACED_DOTS, MANY_DOTS = r"(?:\. ){3,}", r"\.{4,}"
 PUNCTUATION = r"""[!-/:-@\[-`{-~]"""
 LANGUAGE_THRESHOLD, RECOVERY = 0.75, (0.70, 0.75)

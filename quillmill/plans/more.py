@@ -316,7 +316,7 @@ def span_utilisation(s, sf):
 
 @query("stage_chain", "SELECT doc_id, upper(text) AS text FROM documents WHERE length(text) >= 500 AND lang <> 'de'")
 def stage_chain(s, sf):
-    config = {"keep": {"test": (F.length("text") >= 500) & (F.col("lang") != "de")}, "column": {"rule": F.upper}, "cleaner": None}
+    config = {"keep": {"test": (F.length("text") >= 500) & (F.col("lang") != "de")}, "column": {"rule": cleaning.simple_upper}, "cleaner": None}
     return stages.built(config)(_docs(s, sf)).select("doc_id", "text")
 
 

@@ -43,3 +43,12 @@ def test_a_histogram_rounds_as_its_sql(spark, tmp_path):
     rows = [(i, t) for i, t in enumerate([*texts, "a\x0bb a", "\x0b", "", None])]
     spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars").write.parquet(f"file://{tmp_path}/documents.parquet")
     same(spark, "doc_stats_histogram", str(tmp_path))
+
+
+def test_capitals_of_every_sign(spark, tmp_path):
+    """All signs, in texts of 600 that hold hundreds of letters with capitals of several signs, or few or none."""
+    signs = "".join(chr(i) for i in range(1, 0x20000) if not 0xD800 <= i < 0xE000)
+    texts = [signs[i : i + 600] for i in range(0, len(signs), 600)] + ["\xdf" * 600, "a\xdfb" * 200, "\xdf" + "x" * 499, "x" * 499 + "\ufb01", "x" * 499, "", None]
+    rows = [(i, t, None if i == 7 else "en") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'s' AS source", "1L AS n_chars").write.parquet(f"file://{tmp_path}/documents.parquet")
+    same(spark, "stage_chain", str(tmp_path))
