@@ -26,7 +26,7 @@ def same(spark, name, path):
     assert sorted(map(tuple, df.collect()), key=key) == sorted(want, key=key)
 
 
-@pytest.mark.parametrize("name", ["shard_assign", "rank_stride", "resumed_positions", "sampler_batches"])
+@pytest.mark.parametrize("name", ["shard_assign", "rank_stride", "resumed_positions", "sampler_batches", "train_val_split"])
 def test_places_in_a_larger_table(spark, large, name):
     same(spark, name, large)
 
