@@ -5,6 +5,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quillmill.operators import cleaning
 from quillmill.plans.catalog import ORACLE, QUERIES
 
 
@@ -52,3 +53,9 @@ def test_capitals_of_every_sign(spark, tmp_path):
     rows = [(i, t, None if i == 7 else "en") for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'s' AS source", "1L AS n_chars").write.parquet(f"file://{tmp_path}/documents.parquet")
     same(spark, "stage_chain", str(tmp_path))
+
+
+def test_capitals_keep_the_length(spark):
+    texts = {"Stra\xdfe \xe9t\xe9": "STRA\u1e9eE \xc9T\xc9", "\xdf\xdfa": "\u1e9e\u1e9eA", "o\ufb03ce": "O\ufb03CE", "\u1fb3": "\u1fbc", "plain": "PLAIN", "": ""}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", cleaning.simple_upper(F.col("t"))).collect()
+    assert dict(map(tuple, got)) == texts
