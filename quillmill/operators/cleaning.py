@@ -60,13 +60,15 @@ def debug_tag(kind: str) -> Callable[[str], str]:
 def simple_upper(c: Column) -> Column:
     """Capitals sign by sign, as DuckDB's upper() has them: a text keeps its length, and an s sharp gets its own capital.
     Texts without a letter of rules.UPPER are left to Spark; others are cut before and after each of them. ASCII is told by
-    its size and inside the pattern by one range, since a class of so many signs is slow."""
+    its size and inside the pattern by one range, since a class of so many signs is slow. Spark's upper() of plain strings
+    goes by the JVM's language (a Turkish one dots its I) and a setting; with the root collation it goes by neither."""
+    upper = lambda x: F.collate(F.upper(F.collate(x, "UNICODE")), "UTF8_BINARY")
     rare = "".join(x for x in rules.UPPER if x != "\xdf")
     special = f"[\xdf[{min(rare)}-{max(rare)}&&[{rare}]]]"
-    one = lambda x: F.when(x.rlike(special), F.translate(x, "".join(rules.UPPER), "".join(rules.UPPER.values()))).otherwise(F.upper(x))
+    one = lambda x: F.when(x.rlike(special), F.translate(x, "".join(rules.UPPER), "".join(rules.UPPER.values()))).otherwise(upper(x))
     parts = F.split(c, f"(?={special})|(?<={special})", -1)
     plain = (F.octet_length(c) == F.length(c)) | ~c.rlike(special)
-    return F.when(plain, F.upper(c)).otherwise(F.array_join(F.transform(parts, one), ""))
+    return F.when(plain, upper(c)).otherwise(F.array_join(F.transform(parts, one), ""))
 
 
 def normalize_whitespace(c: Column) -> Column:

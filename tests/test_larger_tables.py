@@ -59,3 +59,20 @@ def test_capitals_keep_the_length(spark):
     texts = {"Stra\xdfe \xe9t\xe9": "STRA\u1e9eE \xc9T\xc9", "\xdf\xdfa": "\u1e9e\u1e9eA", "o\ufb03ce": "O\ufb03CE", "\u1fb3": "\u1fbc", "plain": "PLAIN", "": ""}
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", cleaning.simple_upper(F.col("t"))).collect()
     assert dict(map(tuple, got)) == texts
+
+
+@pytest.mark.parametrize(("language", "icu"), [("tr", "true"), ("el", "true"), ("lt", "true"), ("en", "false")])
+def test_capitals_whatever_the_language(spark, tmp_path, language, icu):
+    """Turkish dots a capital I, Greek drops accents, Lithuanian drops dots; without ICU, Java knows fewer letters."""
+    texts = ["i\xe9ı " * 200, "άἄΰ " * 200, "i̇\xe9 " * 200, "\U00010597ꟁ " * 200, "i\xdfiﬁά" * 200]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    locale = spark._jvm.java.util.Locale
+    before = locale.getDefault()
+    try:
+        locale.setDefault(locale.forLanguageTag(language))
+        spark.conf.set("spark.sql.icu.caseMappings.enabled", icu)
+        same(spark, "stage_chain", str(tmp_path))
+    finally:
+        locale.setDefault(before)
+        spark.conf.unset("spark.sql.icu.caseMappings.enabled")
